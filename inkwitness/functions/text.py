@@ -25,7 +25,7 @@ _STOP = sorted({w for w in V.STOPWORDS if re.fullmatch("[a-z]{2,}", w)})
 
 # Characters a quoted value shows as escapes (format characters and control white space).
 _ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\xa0", "\\xa0"), ("\xad", "\\xad")] + [
-    (c, f"\\u{ord(c):04x}") for c in V.ZERO_WIDTH if c not in "\xad͏"
+    (c, f"\\u{ord(c):04x}") for c in V.ZERO_WIDTH if c not in "\u00AD\u034F"
 ]
 
 

@@ -74,8 +74,7 @@ def _detect(metadata: DataFrame, *names: str) -> DataFrame:
         .withColumn("_mod", _MODIFIED)
         .withColumn("_seconds", _SECONDS)
     )
-    found = prepared.select("doc_id", F.array_compact(F.array(*[rules[n] for n in names])).alias("found"))
-    return in_layout(found.filter(F.size("found") > 0).select("doc_id", F.inline("found")))
+    return in_layout(prepared.select("doc_id", F.inline(F.array_compact(F.array(*[rules[n] for n in names])))))
 
 
 def detect_metadata(metadata: DataFrame) -> DataFrame:

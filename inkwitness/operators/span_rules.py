@@ -189,13 +189,12 @@ def font_substitution() -> Column:
 
 
 def candidates_of(spans: DataFrame, rules: list[Column]) -> DataFrame:
-    """Evaluate candidate columns on every span and explode them once."""
-    return (
-        spans.withColumn("homoglyph_word", homoglyph_word())
-        .select("doc_id", F.array_compact(F.array(*rules)).alias("found"))
-        .filter(F.size("found") > 0)
-        .select("doc_id", F.inline("found"))
-    )
+    """Evaluate candidate columns on every span and explode them once.
+
+    The array goes straight into the generator: as a column of its own it would be copied into a
+    filter below the generator and evaluated twice.
+    """
+    return spans.withColumn("homoglyph_word", homoglyph_word()).select("doc_id", F.inline(F.array_compact(F.array(*rules))))
 
 
 def first_per_pattern(candidates: DataFrame) -> DataFrame:
