@@ -1,18 +1,21 @@
 """Rules that look at one span at a time.
 
-All of them are evaluated in a single pass: each span yields an array of candidate signals,
-exploded once.  Only candidates, never the span table, are joined or shuffled afterwards.
+One pass over the span table evaluates only short tests: each span yields an array of (rule,
+matched text) hits, exploded once.  Positions, texts and points of a signal are worked out on the
+few rows that were hit, and only those rows are ever joined or shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwitness import fixed_values as V
 from inkwitness.functions import text as X
 from inkwitness.functions.colour import rgb_distance
 from inkwitness.operators.pages import subset_font_anomaly
-from inkwitness.operators.signals import describe, evidence_map, in_layout, signal
+from inkwitness.operators.signals import describe, evidence_map, signal
 from inkwitness.functions.text import fill
 from inkwitness.schemas import SIGNAL_COLUMNS
 
@@ -32,12 +35,22 @@ def _box_text() -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", *[F.bround(BBOX[c], 1).cast("string") for c in ("x0", "y0", "x1", "y1")]), F.lit("]"))
 
 
-def _candidate(keep: Column, columns: list[Column], dedupe: Column | None = None) -> Column:
-    """A candidate signal struct, null where the rule does not fire."""
-    return F.when(keep, F.struct(F.coalesce(dedupe if dedupe is not None else F.lit(None).cast("int"), F.lit(-1)).alias("pattern_no"), *columns))
+
+@dataclass
+class Rule:
+    """A test on a span, what it matched, and the signal columns for rows it hit."""
+
+    number: int
+    test: Column
+    columns: list[Column]
+    matched: Column | None = None
 
 
-def zero_width() -> Column:
+RULE, MATCHED = F.col("rule"), F.col("matched")
+PROMPT_BASE = 10
+
+
+def zero_width() -> Rule:
     found = F.regexp_extract_all(TEXT, F.lit(ZERO_WIDTH_CLASS), F.lit(0))
     kinds = F.array_distinct(found)
     names = F.create_map(*[F.lit(x) for pair in V.ZERO_WIDTH.items() for x in pair])
@@ -55,11 +68,8 @@ def zero_width() -> Column:
     evidence = evidence_map(
         occurrence_count=F.size(found), unique_codepoints=F.size(kinds), characters=F.to_json(F.transform(kinds, detail))
     )
-    return _candidate(
-        TEXT.rlike(ZERO_WIDTH_CLASS),
-        signal("zero_width_chars", F.lit("high"), PAGE, F.lit("DEFINITIVE"), "high", description,
-               X.snippet(TEXT), evidence, BBOX, SPAN_NO),
-    )
+    return Rule(0, TEXT.rlike(ZERO_WIDTH_CLASS), signal(
+        "zero_width_chars", F.lit("high"), PAGE, F.lit("DEFINITIVE"), "high", description, X.snippet(TEXT), evidence, BBOX, SPAN_NO))
 
 
 def homoglyph_word() -> Column:
@@ -71,143 +81,139 @@ def homoglyph_word() -> Column:
     return F.when(TEXT.rlike(_OTHER_SCRIPT), F.get(mixed, F.lit(0)))
 
 
-def homoglyph() -> Column:
-    word = F.col("homoglyph_word")
+def homoglyph() -> Rule:
+    word = MATCHED
     suspects = F.regexp_extract_all(word, F.lit(LOOKALIKE_CLASS), F.lit(0))
-    scripts = X.scripts_of(word)
-    shown_scripts = F.concat(F.lit("['"), F.array_join(scripts, "', '"), F.lit("']"))
+    shown_scripts = F.concat(F.lit("['"), F.array_join(X.scripts_of(word), "', '"), F.lit("']"))
     shown = F.array_join(F.transform(suspects, lambda c: F.concat(X.quoted(c), F.lit("("), _code_point(c), F.lit(")"))), ", ")
     detail = lambda c: F.struct(
         X.quoted(c).alias("character"), _code_point(c).alias("codepoint"), X.char_script(c).alias("detected_script"),
         F.lit("Latin").alias("expected_script"), (F.instr(word, c) - 1).alias("position_in_word"),
     )
     evidence = evidence_map(word=word, scripts_found=shown_scripts, suspect_chars=F.to_json(F.transform(suspects, detail)))
-    return _candidate(
-        word.isNotNull(),
-        signal("homoglyph_substitution", F.lit("high"), PAGE, F.lit("STRONG"), "high",
-               describe("homoglyph_substitution", word=X.quoted(word), page=PAGE, scripts=shown_scripts, chars=shown),
-               X.snippet(TEXT), evidence, BBOX, SPAN_NO),
-    )
+    return Rule(1, F.col("homoglyph_word").isNotNull(), signal(
+        "homoglyph_substitution", F.lit("high"), PAGE, F.lit("STRONG"), "high",
+        describe("homoglyph_substitution", word=X.quoted(word), page=PAGE, scripts=shown_scripts, chars=shown),
+        X.snippet(TEXT), evidence, BBOX, SPAN_NO), F.col("homoglyph_word"))
 
 
-def hidden_text(threshold: Column) -> Column:
+def hidden_text(threshold: Column) -> Rule:
     color = F.col("font_color")
     distance = rgb_distance(color, V.BACKGROUND_RGB)
     near = distance < V.INVISIBLE_DISTANCE
-    body = X.strip(TEXT)
     background = "(" + ", ".join(str(v) for v in V.BACKGROUND_RGB) + ")"
     shown = F.concat(F.lit("("), F.concat_ws(", ", color["r"], color["g"], color["b"]), F.lit(")"))
     evidence = evidence_map(
         text_color_rgb=shown, background_color_rgb=F.lit(background), rgb_distance=F.bround(distance, 2),
         threshold=threshold, font_size=F.col("font_size"),
     )
-    return _candidate(
-        color.isNotNull() & ~X.is_blank(TEXT) & (distance < threshold),
-        signal("hidden_text", F.when(near, "high").otherwise("medium"), PAGE,
-               F.when(near, "DEFINITIVE").otherwise("STRONG"), "high",
-               describe("hidden_text", color=shown, distance=X.fixed1(distance), background=F.lit(background), threshold=threshold),
-               X.snippet(body), evidence, BBOX, SPAN_NO),
-    )
+    return Rule(2, color.isNotNull() & (distance < threshold) & ~X.is_blank(TEXT), signal(
+        "hidden_text", F.when(near, "high").otherwise("medium"), PAGE, F.when(near, "DEFINITIVE").otherwise("STRONG"), "high",
+        describe("hidden_text", color=shown, distance=X.fixed1(distance), background=F.lit(background), threshold=threshold),
+        X.snippet(X.strip(TEXT)), evidence, BBOX, SPAN_NO))
 
 
-def _is_tiny(threshold: Column) -> Column:
-    return ~X.is_blank(TEXT) & (F.coalesce(F.col("font_size"), F.lit(12.0)) <= threshold)
+SIZE = F.coalesce(F.col("font_size"), F.lit(12.0))
 
 
-def tiny_font(threshold: Column) -> Column:
-    size = F.coalesce(F.col("font_size"), F.lit(12.0))
-    none = size <= 0
-    return _candidate(
-        _is_tiny(threshold),
-        signal("zero_or_tiny_font", F.when(none, "high").otherwise("medium"), PAGE,
-               F.when(none, "DEFINITIVE").otherwise("STRONG"), "high",
-               describe("zero_or_tiny_font", size=size, threshold=threshold), X.snippet(X.strip(TEXT)),
-               evidence_map(font_size=size, hidden_size_threshold=threshold), BBOX, SPAN_NO,
-               fill(V.REMEDIATIONS["zero_or_tiny_font"], size=size)),
-    )
+def tiny_font(threshold: Column) -> Rule:
+    none = SIZE <= 0
+    return Rule(3, (SIZE <= threshold) & ~X.is_blank(TEXT), signal(
+        "zero_or_tiny_font", F.when(none, "high").otherwise("medium"), PAGE, F.when(none, "DEFINITIVE").otherwise("STRONG"), "high",
+        describe("zero_or_tiny_font", size=SIZE, threshold=threshold), X.snippet(X.strip(TEXT)),
+        evidence_map(font_size=SIZE, hidden_size_threshold=threshold), BBOX, SPAN_NO,
+        fill(V.REMEDIATIONS["zero_or_tiny_font"], size=SIZE)))
 
 
-def maybe_offpage(threshold: Column, narrowest: Column, lowest: Column) -> Column:
-    """Spans that could lie outside their page: outside the smallest page of the corpus.
+_W, _H = F.col("_w"), F.col("_h")
+_SIDES = [("left", BBOX["x1"] < 0, -BBOX["x1"]), ("right", BBOX["x0"] > _W, BBOX["x0"] - _W),
+          ("top", BBOX["y1"] < 0, -BBOX["y1"]), ("bottom", BBOX["y0"] > _H, BBOX["y0"] - _H)]
 
-    The exact test needs the page's own size; this necessary condition keeps the join small.
+
+def offpage(threshold: Column, narrowest: Column, lowest: Column) -> Rule:
+    """Spans outside the smallest page of the corpus: a necessary condition that needs no join.
+
+    The exact test against the page's own size follows on the hits (``_place_on_page``).
     """
     outside = (BBOX["x1"] < 0) | (BBOX["y1"] < 0) | (BBOX["x0"] > narrowest) | (BBOX["y0"] > lowest)
-    return _candidate(
-        ~X.is_blank(TEXT) & ~_is_tiny(threshold) & BBOX.isNotNull() & outside,
-        signal("offpage_text", F.lit("high"), PAGE, F.lit("DEFINITIVE"), "high", F.lit(None).cast("string"),
-               X.snippet(X.strip(TEXT)), None, BBOX, SPAN_NO),
-    )
+    directions = F.concat_ws(", ", *[F.when(test, F.lit(name)) for name, test, _ in _SIDES])
+    distance = F.greatest(*[F.when(test, gap).otherwise(0.0) for _, test, gap in _SIDES])
+    return Rule(4, BBOX.isNotNull() & outside & (SIZE > threshold) & ~X.is_blank(TEXT), signal(
+        "offpage_text", F.lit("high"), PAGE, F.lit("DEFINITIVE"), "high",
+        describe("offpage_text", bbox=_box_text(), width=X.fixed0(_W), height=X.fixed0(_H), directions=directions, distance=X.fixed1(distance)),
+        X.snippet(X.strip(TEXT)),
+        evidence_map(page_width=_W, page_height=_H, off_directions=directions, distance_outside_pt=F.bround(distance, 2)), BBOX, SPAN_NO))
 
 
-def _resolve_offpage(candidates: DataFrame, page_dims: DataFrame) -> DataFrame:
-    """Exact off-page test against the page's own size, and the texts that need that size."""
-    dims = page_dims.select("doc_id", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    w, h = F.col("_w"), F.col("_h")
-    is_off = F.col("signal_type") == "offpage_text"
-    sides = [("left", BBOX["x1"] < 0, -BBOX["x1"]), ("right", BBOX["x0"] > w, BBOX["x0"] - w),
-             ("top", BBOX["y1"] < 0, -BBOX["y1"]), ("bottom", BBOX["y0"] > h, BBOX["y0"] - h)]
-    outside = w.isNotNull() & (sides[0][1] | sides[1][1] | sides[2][1] | sides[3][1])
-    directions = F.concat_ws(", ", *[F.when(test, F.lit(name)) for name, test, _ in sides])
-    distance = F.greatest(*[F.when(test, gap).otherwise(0.0) for _, test, gap in sides])
-    description = describe("offpage_text", bbox=_box_text(), width=X.fixed0(w), height=X.fixed0(h),
-                           directions=directions, distance=X.fixed1(distance))
-    evidence = evidence_map(page_width=w, page_height=h, off_directions=directions, distance_outside_pt=F.bround(distance, 2))
-    return (
-        candidates.join(dims, ["doc_id", "page"], "left").filter(~is_off | outside)
-        .withColumn("description", F.when(is_off, description).otherwise(F.col("description")))
-        .withColumn("evidence", F.when(is_off, evidence).otherwise(F.col("evidence")))
-    )
+def font_substitution() -> Rule:
+    font, head = F.col("font_name"), F.substring(TEXT, 1, 200)
+    return Rule(5, subset_font_anomaly().isNotNull(), signal(
+        "font_substitution", F.lit("high"), PAGE, F.lit("MODERATE"), "medium", describe("font_substitution", font=font), head,
+        evidence_map(font_name=font, suspected_hidden_text=head), BBOX, SPAN_NO))
 
 
-def prompt_injection() -> list[Column]:
-    out = []
-    for number, (_, severity, reason) in enumerate(V.INJECTION_PATTERNS):
-        found = F.regexp_extract(TEXT, PROMPT_CLASSES[number], 0)
-        strength = "STRONG" if severity == "high" else "MODERATE"
-        out.append(_candidate(
-            TEXT.rlike(PROMPT_CLASSES[number]),
-            signal("prompt_injection", F.lit(severity), PAGE, F.lit(strength), "medium",
-                   describe("prompt_injection", page=PAGE, reason=F.lit(reason), matched=X.quoted(found)),
-                   X.snippet(TEXT),
-                   evidence_map(matched_text=found, pattern_reason=F.lit(reason), full_span=X.snippet(TEXT, 300)),
-                   BBOX, SPAN_NO),
-            F.lit(number),
-        ))
-    return out
-
-
-def font_substitution() -> Column:
-    font = F.col("font_name")
-    head = F.substring(TEXT, 1, 200)
-    return _candidate(
-        subset_font_anomaly().isNotNull(),
-        signal("font_substitution", F.lit("high"), PAGE, F.lit("MODERATE"), "medium",
-               describe("font_substitution", font=font), head,
-               evidence_map(font_name=font, suspected_hidden_text=head), BBOX, SPAN_NO),
-    )
+def prompt_injection() -> list[Rule]:
+    """One test per pattern; severity and reason are looked up by the pattern's number."""
+    entry = lambda i: F.get(F.array(*[F.lit(p[i]) for p in V.INJECTION_PATTERNS]), RULE - PROMPT_BASE)
+    severity, reason = entry(1), entry(2)
+    columns = signal(
+        "prompt_injection", severity, PAGE, F.when(severity == "high", "STRONG").otherwise("MODERATE"), "medium",
+        describe("prompt_injection", page=PAGE, reason=reason, matched=X.quoted(MATCHED)), X.snippet(TEXT),
+        evidence_map(matched_text=MATCHED, pattern_reason=reason, full_span=X.snippet(TEXT, 300)), BBOX, SPAN_NO)
+    return [Rule(PROMPT_BASE + i, TEXT.rlike(p), columns, F.regexp_extract(TEXT, p, 0)) for i, p in enumerate(PROMPT_CLASSES)]
 
 
-def candidates_of(spans: DataFrame, rules: list[Column]) -> DataFrame:
-    """Evaluate candidate columns on every span and explode them once.
+def hits_of(spans: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Span rows, once per rule that hit them, with ``rule`` and ``matched``.
 
     The array goes straight into the generator: as a column of its own it would be copied into a
     filter below the generator and evaluated twice.
     """
-    return spans.withColumn("homoglyph_word", homoglyph_word()).select("doc_id", F.inline(F.array_compact(F.array(*rules))))
+    tests = [F.when(r.test, F.struct(F.lit(r.number).alias("rule"),
+                                     (F.lit(None) if r.matched is None else r.matched).cast("string").alias("matched"))) for r in rules]
+    columns = [c for c in ("doc_id", "page", "span_no", "text", "bbox", "font_name", "font_size", "font_color",
+                           "near_white_threshold", "hidden_size_threshold") if c in spans.columns]
+    if any(r.number == 1 for r in rules):
+        spans = spans.withColumn("homoglyph_word", homoglyph_word())
+    return spans.select(*columns, F.inline(F.array_compact(F.array(*tests))))
+
+
+def as_signals(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Hit rows -> the shared signal layout."""
+    prompts = [r for r in rules if r.number >= PROMPT_BASE]
+    kinds = [(RULE == r.number, r.columns) for r in rules if r.number < PROMPT_BASE]
+    if prompts:
+        kinds.append((RULE >= PROMPT_BASE, prompts[0].columns))
+    out = []
+    for i, field in enumerate(f for f in SIGNAL_COLUMNS if f != "doc_id"):
+        value = kinds[0][1][i]
+        if len(kinds) > 1:
+            value = F.when(kinds[0][0], value)
+            for test, columns in kinds[1:]:
+                value = value.when(test, columns[i])
+        out.append(value.alias(field))
+    return hits.select("doc_id", *out)
+
+
+def _place_on_page(hits: DataFrame, page_dims: DataFrame) -> DataFrame:
+    """Exact off-page test: hits of that rule stay only if they lie outside their own page."""
+    dims = page_dims.select("doc_id", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    outside = _W.isNotNull() & (_SIDES[0][1] | _SIDES[1][1] | _SIDES[2][1] | _SIDES[3][1])
+    return hits.join(dims, ["doc_id", "page"], "left").filter((RULE != 4) | outside)
 
 
-def first_per_pattern(candidates: DataFrame) -> DataFrame:
-    """Each pattern counts once per page, at the earliest span that shows it.
+def _first_per_pattern(hits: DataFrame) -> DataFrame:
+    """A prompt pattern counts once per page, at the earliest span; other rules keep every span.
 
-    A plain aggregate: it combines before the shuffle, so a page that repeats one instruction
-    a million times sends one row per task.
+    A plain aggregate: it combines before the shuffle, so a page that repeats one instruction a
+    million times sends one row per task.
     """
-    columns = [c for c in SIGNAL_COLUMNS if c not in ("doc_id", "page")]
-    first = candidates.groupBy("doc_id", "page", "pattern_no").agg(
-        F.min_by(F.struct(*columns), F.col("span_no")).alias("s")
+    keys = ["doc_id", "page", "rule", "slot"]
+    rest = [c for c in hits.columns if c not in keys]
+    return (
+        hits.withColumn("slot", F.when(RULE >= PROMPT_BASE, F.lit(-1)).otherwise(SPAN_NO))
+        .groupBy(keys).agg(F.min_by(F.struct(*rest), SPAN_NO).alias("s")).select("doc_id", "page", "rule", "s.*")
     )
-    return first.select("doc_id", "page", "s.*")
 
 
 def _limits(spans: DataFrame) -> tuple[Column, Column]:
@@ -217,56 +223,53 @@ def _limits(spans: DataFrame) -> tuple[Column, Column]:
     return white, tiny
 
 
-def _smallest_page(page_dims: DataFrame) -> tuple[Column, Column]:
-    return (page_dims.agg(F.min("width")).scalar(), page_dims.agg(F.min("height")).scalar())
+def _offpage_rule(spans: DataFrame, page_dims: DataFrame) -> Rule:
+    smallest = page_dims.agg(F.struct(F.min("width").alias("w"), F.min("height").alias("h"))).scalar()
+    return offpage(_limits(spans)[1], smallest["w"], smallest["h"])
 
 
-def row_local_rules(spans: DataFrame) -> list[Column]:
-    """Candidate columns that need nothing but the span (usable on a stream as well)."""
+def row_local_rules(spans: DataFrame) -> list[Rule]:
+    """Rules that need nothing but the span (usable on a stream as well)."""
     white, tiny = _limits(spans)
     return [zero_width(), homoglyph(), hidden_text(white), tiny_font(tiny), font_substitution()]
 
 
+def detect_row_local(spans: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    rules = rules or row_local_rules(spans)
+    return as_signals(hits_of(spans, rules), rules)
+
+
 def detect_zero_width(spans: DataFrame) -> DataFrame:
-    return in_layout(candidates_of(spans, [zero_width()]))
+    return detect_row_local(spans, [zero_width()])
 
 
 def detect_homoglyphs(spans: DataFrame) -> DataFrame:
-    return in_layout(candidates_of(spans, [homoglyph()]))
+    return detect_row_local(spans, [homoglyph()])
 
 
 def detect_hidden_text(spans: DataFrame) -> DataFrame:
-    return in_layout(candidates_of(spans, [hidden_text(_limits(spans)[0])]))
+    return detect_row_local(spans, [hidden_text(_limits(spans)[0])])
 
 
 def detect_tiny_font(spans: DataFrame) -> DataFrame:
-    return in_layout(candidates_of(spans, [tiny_font(_limits(spans)[1])]))
+    return detect_row_local(spans, [tiny_font(_limits(spans)[1])])
 
 
 def detect_font_substitution(spans: DataFrame) -> DataFrame:
-    return in_layout(candidates_of(spans, [font_substitution()]))
+    return detect_row_local(spans, [font_substitution()])
 
 
 def detect_offpage(spans: DataFrame, page_dims: DataFrame) -> DataFrame:
-    rule = maybe_offpage(_limits(spans)[1], *_smallest_page(page_dims))
-    return in_layout(_resolve_offpage(candidates_of(spans, [rule]), page_dims))
+    rules = [_offpage_rule(spans, page_dims)]
+    return as_signals(_place_on_page(hits_of(spans, rules), page_dims), rules)
 
 
 def detect_prompt_injection(spans: DataFrame) -> DataFrame:
-    return in_layout(first_per_pattern(candidates_of(spans, prompt_injection())))
+    rules = prompt_injection()
+    return as_signals(_first_per_pattern(hits_of(spans, rules)), rules)
 
 
 def detect_span_signals(spans: DataFrame, page_dims: DataFrame) -> DataFrame:
     """All span rules in one scan of the span table."""
-    rules = row_local_rules(spans) + [maybe_offpage(_limits(spans)[1], *_smallest_page(page_dims))] + prompt_injection()
-    found = candidates_of(spans, rules)
-    kept = _resolve_offpage(found, page_dims)
-    # Rules other than the prompt patterns keep one row per span and type.
-    key = F.when(F.col("pattern_no") >= 0, F.lit(-1)).otherwise(F.col("span_no"))
-    columns = [c for c in SIGNAL_COLUMNS if c not in ("doc_id", "page", "signal_type")]
-    return in_layout(
-        kept.withColumn("slot", key)
-        .groupBy("doc_id", "page", "signal_type", "pattern_no", "slot")
-        .agg(F.min_by(F.struct(*columns), F.col("span_no")).alias("s"))
-        .select("doc_id", "page", "signal_type", "s.*")
-    )
+    rules = row_local_rules(spans) + [_offpage_rule(spans, page_dims)] + prompt_injection()
+    return as_signals(_first_per_pattern(_place_on_page(hits_of(spans, rules), page_dims)), rules)

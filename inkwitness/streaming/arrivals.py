@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwitness.operators.signals import in_layout
-from inkwitness.operators.span_rules import candidates_of, row_local_rules
+from inkwitness.operators.span_rules import detect_row_local
 from inkwitness.schemas import SPAN_SCHEMA
 
 
@@ -19,4 +18,4 @@ def read_arriving_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def detect_on_arrival(spans: DataFrame) -> DataFrame:
     """Signals of the rules that need nothing but the span."""
-    return in_layout(candidates_of(spans, row_local_rules(spans)))
+    return detect_row_local(spans)
