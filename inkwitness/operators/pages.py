@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from inkwitness import fixed_values as V
 from inkwitness.functions import text as X
@@ -37,7 +37,7 @@ def _merge_count(ranks: np.ndarray) -> int:
     return total
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _inversions(ranks: pd.Series) -> pd.Series:
     return ranks.map(lambda r: _merge_count(np.asarray(r)))
 

@@ -39,6 +39,12 @@ def history_total(scans: DataFrame, documents: DataFrame, owner: int | None = No
     return owned_scans(scans, documents, owner, label).agg(F.count("*").alias("total"))
 
 
+def _mean_of_tenths(score: str) -> Column:
+    """Mean of scores that have one decimal place, from whole tenths, so the order of adding is immaterial."""
+    tenths = F.sum(F.bround(F.col(score) * 10, 0).cast("long"))
+    return F.try_divide(tenths.cast("double"), F.count(score) * F.lit(10.0))
+
+
 def history_summary(scans: DataFrame, documents: DataFrame) -> DataFrame:
     """Per owner, all labels: count, count per label, mean score."""
     label = F.col("trust_label")
@@ -46,7 +52,7 @@ def history_summary(scans: DataFrame, documents: DataFrame) -> DataFrame:
     return owned_scans(scans, documents).groupBy("owner_id").agg(
         F.count("*").alias("total_scans"), *known,
         F.count_if(label.isNotNull() & ~label.isin(*V.LABELS)).alias("other_labels"),
-        F.coalesce(F.bround(F.avg("trust_score"), 1), F.lit(0.0)).alias("average_trust_score"),
+        F.coalesce(F.bround(_mean_of_tenths("trust_score"), 1), F.lit(0.0)).alias("average_trust_score"),
     )
 
 

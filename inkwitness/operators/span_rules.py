@@ -8,6 +8,8 @@ few rows that were hit, and only those rows are ever joined or shuffled.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,7 +26,43 @@ LOOKALIKE_CLASS = f"[{V.LOOKALIKES}]"
 _OTHER_SCRIPT = "[" + "".join(X._ranges(s) for s in V.SCRIPT_RANGES if s != "Latin") + "]"
 PROMPT_CLASSES = [f"(?i){p}" for p, _, _ in V.INJECTION_PATTERNS]
 
-TEXT, PAGE, BBOX, SPAN_NO = F.col("text"), F.col("page"), F.col("bbox"), F.col("span_no")
+
+
+def _text() -> Column:
+    return F.col("text")
+
+
+def _page() -> Column:
+    return F.col("page")
+
+
+def _bbox() -> Column:
+    return F.col("bbox")
+
+
+def _span_no() -> Column:
+    return F.col("span_no")
+
+
+def _rule() -> Column:
+    return F.col("rule")
+
+
+def _matched() -> Column:
+    return F.col("matched")
+
+
+def _size() -> Column:
+    return F.coalesce(F.col("font_size"), F.lit(12.0))
+
+
+def _w() -> Column:
+    return F.col("_w")
+
+
+def _h() -> Column:
+    return F.col("_h")
+
 
 
 def _code_point(char: Column) -> Column:
@@ -32,7 +70,7 @@ def _code_point(char: Column) -> Column:
 
 
 def _box_text() -> Column:
-    return F.concat(F.lit("["), F.concat_ws(", ", *[F.bround(BBOX[c], 1).cast("string") for c in ("x0", "y0", "x1", "y1")]), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(", ", *[F.bround(_bbox()[c], 1).cast("string") for c in ("x0", "y0", "x1", "y1")]), F.lit("]"))
 
 
 
@@ -46,43 +84,42 @@ class Rule:
     matched: Column | None = None
 
 
-RULE, MATCHED = F.col("rule"), F.col("matched")
 PROMPT_BASE = 10
 
 
 def zero_width() -> Rule:
-    found = F.regexp_extract_all(TEXT, F.lit(ZERO_WIDTH_CLASS), F.lit(0))
+    found = F.regexp_extract_all(_text(), F.lit(ZERO_WIDTH_CLASS), F.lit(0))
     kinds = F.array_distinct(found)
     names = F.create_map(*[F.lit(x) for pair in V.ZERO_WIDTH.items() for x in pair])
-    start = lambda ch: F.greatest(F.instr(TEXT, ch) - 20, F.lit(1))
+    start = lambda ch: F.greatest(F.instr(_text(), ch) - 20, F.lit(1))
     detail = lambda ch: F.struct(
         X.quoted(ch).alias("character"),
         _code_point(ch).alias("codepoint"),
         F.element_at(names, ch).alias("name"),
-        X.quoted(F.substr(TEXT, start(ch), F.instr(TEXT, ch) + 21 - start(ch))).alias("context"),
+        X.quoted(F.substr(_text(), start(ch), F.instr(_text(), ch) + 21 - start(ch))).alias("context"),
     )
     description = describe(
-        "zero_width_chars", count=F.size(found), page=PAGE,
+        "zero_width_chars", count=F.size(found), page=_page(),
         names=F.array_join(F.transform(kinds, lambda ch: F.element_at(names, ch)), ", "),
     )
     evidence = evidence_map(
         occurrence_count=F.size(found), unique_codepoints=F.size(kinds), characters=F.to_json(F.transform(kinds, detail))
     )
-    return Rule(0, TEXT.rlike(ZERO_WIDTH_CLASS), signal(
-        "zero_width_chars", F.lit("high"), PAGE, F.lit("DEFINITIVE"), "high", description, X.snippet(TEXT), evidence, BBOX, SPAN_NO))
+    return Rule(0, _text().rlike(ZERO_WIDTH_CLASS), signal(
+        "zero_width_chars", F.lit("high"), _page(), F.lit("DEFINITIVE"), "high", description, X.snippet(_text()), evidence, _bbox(), _span_no()))
 
 
 def homoglyph_word() -> Column:
     """First word mixing scripts and holding a look-alike letter; null if there is none."""
     mixed = F.filter(
-        F.regexp_extract_all(TEXT, F.lit(X.ANY_WORD), F.lit(0)),
+        F.regexp_extract_all(_text(), F.lit(X.ANY_WORD), F.lit(0)),
         lambda w: (F.length(w) >= 2) & w.rlike(LOOKALIKE_CLASS) & (F.size(X.scripts_of(w)) >= 2),
     )
-    return F.when(TEXT.rlike(_OTHER_SCRIPT), F.get(mixed, F.lit(0)))
+    return F.when(_text().rlike(_OTHER_SCRIPT), F.get(mixed, F.lit(0)))
 
 
 def homoglyph() -> Rule:
-    word = MATCHED
+    word = _matched()
     suspects = F.regexp_extract_all(word, F.lit(LOOKALIKE_CLASS), F.lit(0))
     shown_scripts = F.concat(F.lit("['"), F.array_join(X.scripts_of(word), "', '"), F.lit("']"))
     shown = F.array_join(F.transform(suspects, lambda c: F.concat(X.quoted(c), F.lit("("), _code_point(c), F.lit(")"))), ", ")
@@ -92,9 +129,9 @@ def homoglyph() -> Rule:
     )
     evidence = evidence_map(word=word, scripts_found=shown_scripts, suspect_chars=F.to_json(F.transform(suspects, detail)))
     return Rule(1, F.col("homoglyph_word").isNotNull(), signal(
-        "homoglyph_substitution", F.lit("high"), PAGE, F.lit("STRONG"), "high",
-        describe("homoglyph_substitution", word=X.quoted(word), page=PAGE, scripts=shown_scripts, chars=shown),
-        X.snippet(TEXT), evidence, BBOX, SPAN_NO), F.col("homoglyph_word"))
+        "homoglyph_substitution", F.lit("high"), _page(), F.lit("STRONG"), "high",
+        describe("homoglyph_substitution", word=X.quoted(word), page=_page(), scripts=shown_scripts, chars=shown),
+        X.snippet(_text()), evidence, _bbox(), _span_no()), F.col("homoglyph_word"))
 
 
 def hidden_text(threshold: Column) -> Rule:
@@ -107,27 +144,26 @@ def hidden_text(threshold: Column) -> Rule:
         text_color_rgb=shown, background_color_rgb=F.lit(background), rgb_distance=F.bround(distance, 2),
         threshold=threshold, font_size=F.col("font_size"),
     )
-    return Rule(2, color.isNotNull() & (distance < threshold) & ~X.is_blank(TEXT), signal(
-        "hidden_text", F.when(near, "high").otherwise("medium"), PAGE, F.when(near, "DEFINITIVE").otherwise("STRONG"), "high",
+    return Rule(2, color.isNotNull() & (distance < threshold) & ~X.is_blank(_text()), signal(
+        "hidden_text", F.when(near, "high").otherwise("medium"), _page(), F.when(near, "DEFINITIVE").otherwise("STRONG"), "high",
         describe("hidden_text", color=shown, distance=X.fixed1(distance), background=F.lit(background), threshold=threshold),
-        X.snippet(X.strip(TEXT)), evidence, BBOX, SPAN_NO))
-
-
-SIZE = F.coalesce(F.col("font_size"), F.lit(12.0))
+        X.snippet(X.strip(_text())), evidence, _bbox(), _span_no()))
 
 
 def tiny_font(threshold: Column) -> Rule:
-    none = SIZE <= 0
-    return Rule(3, (SIZE <= threshold) & ~X.is_blank(TEXT), signal(
-        "zero_or_tiny_font", F.when(none, "high").otherwise("medium"), PAGE, F.when(none, "DEFINITIVE").otherwise("STRONG"), "high",
-        describe("zero_or_tiny_font", size=SIZE, threshold=threshold), X.snippet(X.strip(TEXT)),
-        evidence_map(font_size=SIZE, hidden_size_threshold=threshold), BBOX, SPAN_NO,
-        fill(V.REMEDIATIONS["zero_or_tiny_font"], size=SIZE)))
+    none = _size() <= 0
+    return Rule(3, (_size() <= threshold) & ~X.is_blank(_text()), signal(
+        "zero_or_tiny_font", F.when(none, "high").otherwise("medium"), _page(), F.when(none, "DEFINITIVE").otherwise("STRONG"), "high",
+        describe("zero_or_tiny_font", size=_size(), threshold=threshold), X.snippet(X.strip(_text())),
+        evidence_map(font_size=_size(), hidden_size_threshold=threshold), _bbox(), _span_no(),
+        fill(V.REMEDIATIONS["zero_or_tiny_font"], size=_size())))
 
 
-_W, _H = F.col("_w"), F.col("_h")
-_SIDES = [("left", BBOX["x1"] < 0, -BBOX["x1"]), ("right", BBOX["x0"] > _W, BBOX["x0"] - _W),
-          ("top", BBOX["y1"] < 0, -BBOX["y1"]), ("bottom", BBOX["y0"] > _H, BBOX["y0"] - _H)]
+def _sides() -> list[tuple[str, Column, Column]]:
+    """(side, outside on that side, distance outside)."""
+    box, w, h = _bbox(), _w(), _h()
+    return [("left", box["x1"] < 0, -box["x1"]), ("right", box["x0"] > w, box["x0"] - w),
+            ("top", box["y1"] < 0, -box["y1"]), ("bottom", box["y0"] > h, box["y0"] - h)]
 
 
 def offpage(threshold: Column, narrowest: Column, lowest: Column) -> Rule:
@@ -135,32 +171,32 @@ def offpage(threshold: Column, narrowest: Column, lowest: Column) -> Rule:
 
     The exact test against the page's own size follows on the hits (``_place_on_page``).
     """
-    outside = (BBOX["x1"] < 0) | (BBOX["y1"] < 0) | (BBOX["x0"] > narrowest) | (BBOX["y0"] > lowest)
-    directions = F.concat_ws(", ", *[F.when(test, F.lit(name)) for name, test, _ in _SIDES])
-    distance = F.greatest(*[F.when(test, gap).otherwise(0.0) for _, test, gap in _SIDES])
-    return Rule(4, BBOX.isNotNull() & outside & (SIZE > threshold) & ~X.is_blank(TEXT), signal(
-        "offpage_text", F.lit("high"), PAGE, F.lit("DEFINITIVE"), "high",
-        describe("offpage_text", bbox=_box_text(), width=X.fixed0(_W), height=X.fixed0(_H), directions=directions, distance=X.fixed1(distance)),
-        X.snippet(X.strip(TEXT)),
-        evidence_map(page_width=_W, page_height=_H, off_directions=directions, distance_outside_pt=F.bround(distance, 2)), BBOX, SPAN_NO))
+    outside = (_bbox()["x1"] < 0) | (_bbox()["y1"] < 0) | (_bbox()["x0"] > narrowest) | (_bbox()["y0"] > lowest)
+    directions = F.concat_ws(", ", *[F.when(test, F.lit(name)) for name, test, _ in _sides()])
+    distance = F.greatest(*[F.when(test, gap).otherwise(0.0) for _, test, gap in _sides()])
+    return Rule(4, _bbox().isNotNull() & outside & (_size() > threshold) & ~X.is_blank(_text()), signal(
+        "offpage_text", F.lit("high"), _page(), F.lit("DEFINITIVE"), "high",
+        describe("offpage_text", bbox=_box_text(), width=X.fixed0(_w()), height=X.fixed0(_h()), directions=directions, distance=X.fixed1(distance)),
+        X.snippet(X.strip(_text())),
+        evidence_map(page_width=_w(), page_height=_h(), off_directions=directions, distance_outside_pt=F.bround(distance, 2)), _bbox(), _span_no()))
 
 
 def font_substitution() -> Rule:
-    font, head = F.col("font_name"), F.substring(TEXT, 1, 200)
+    font, head = F.col("font_name"), F.substring(_text(), 1, 200)
     return Rule(5, subset_font_anomaly().isNotNull(), signal(
-        "font_substitution", F.lit("high"), PAGE, F.lit("MODERATE"), "medium", describe("font_substitution", font=font), head,
-        evidence_map(font_name=font, suspected_hidden_text=head), BBOX, SPAN_NO))
+        "font_substitution", F.lit("high"), _page(), F.lit("MODERATE"), "medium", describe("font_substitution", font=font), head,
+        evidence_map(font_name=font, suspected_hidden_text=head), _bbox(), _span_no()))
 
 
 def prompt_injection() -> list[Rule]:
     """One test per pattern; severity and reason are looked up by the pattern's number."""
-    entry = lambda i: F.get(F.array(*[F.lit(p[i]) for p in V.INJECTION_PATTERNS]), RULE - PROMPT_BASE)
+    entry = lambda i: F.get(F.array(*[F.lit(p[i]) for p in V.INJECTION_PATTERNS]), _rule() - PROMPT_BASE)
     severity, reason = entry(1), entry(2)
     columns = signal(
-        "prompt_injection", severity, PAGE, F.when(severity == "high", "STRONG").otherwise("MODERATE"), "medium",
-        describe("prompt_injection", page=PAGE, reason=reason, matched=X.quoted(MATCHED)), X.snippet(TEXT),
-        evidence_map(matched_text=MATCHED, pattern_reason=reason, full_span=X.snippet(TEXT, 300)), BBOX, SPAN_NO)
-    return [Rule(PROMPT_BASE + i, TEXT.rlike(p), columns, F.regexp_extract(TEXT, p, 0)) for i, p in enumerate(PROMPT_CLASSES)]
+        "prompt_injection", severity, _page(), F.when(severity == "high", "STRONG").otherwise("MODERATE"), "medium",
+        describe("prompt_injection", page=_page(), reason=reason, matched=X.quoted(_matched())), X.snippet(_text()),
+        evidence_map(matched_text=_matched(), pattern_reason=reason, full_span=X.snippet(_text(), 300)), _bbox(), _span_no())
+    return [Rule(PROMPT_BASE + i, _text().rlike(p), columns, F.regexp_extract(_text(), p, 0)) for i, p in enumerate(PROMPT_CLASSES)]
 
 
 def hits_of(spans: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -181,9 +217,9 @@ def hits_of(spans: DataFrame, rules: list[Rule]) -> DataFrame:
 def as_signals(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """Hit rows -> the shared signal layout."""
     prompts = [r for r in rules if r.number >= PROMPT_BASE]
-    kinds = [(RULE == r.number, r.columns) for r in rules if r.number < PROMPT_BASE]
+    kinds = [(_rule() == r.number, r.columns) for r in rules if r.number < PROMPT_BASE]
     if prompts:
-        kinds.append((RULE >= PROMPT_BASE, prompts[0].columns))
+        kinds.append((_rule() >= PROMPT_BASE, prompts[0].columns))
     out = []
     for i, field in enumerate(f for f in SIGNAL_COLUMNS if f != "doc_id"):
         value = kinds[0][1][i]
@@ -198,8 +234,8 @@ def as_signals(hits: DataFrame, rules: list[Rule]) -> DataFrame:
 def _place_on_page(hits: DataFrame, page_dims: DataFrame) -> DataFrame:
     """Exact off-page test: hits of that rule stay only if they lie outside their own page."""
     dims = page_dims.select("doc_id", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    outside = _W.isNotNull() & (_SIDES[0][1] | _SIDES[1][1] | _SIDES[2][1] | _SIDES[3][1])
-    return hits.join(dims, ["doc_id", "page"], "left").filter((RULE != 4) | outside)
+    outside = _w().isNotNull() & (reduce(or_, [test for _, test, _ in _sides()]))
+    return hits.join(dims, ["doc_id", "page"], "left").filter((_rule() != 4) | outside)
 
 
 def _first_per_pattern(hits: DataFrame) -> DataFrame:
@@ -211,8 +247,8 @@ def _first_per_pattern(hits: DataFrame) -> DataFrame:
     keys = ["doc_id", "page", "rule", "slot"]
     rest = [c for c in hits.columns if c not in keys]
     return (
-        hits.withColumn("slot", F.when(RULE >= PROMPT_BASE, F.lit(-1)).otherwise(SPAN_NO))
-        .groupBy(keys).agg(F.min_by(F.struct(*rest), SPAN_NO).alias("s")).select("doc_id", "page", "rule", "s.*")
+        hits.withColumn("slot", F.when(_rule() >= PROMPT_BASE, F.lit(-1)).otherwise(_span_no()))
+        .groupBy(keys).agg(F.min_by(F.struct(*rest), _span_no()).alias("s")).select("doc_id", "page", "rule", "s.*")
     )
 
 
