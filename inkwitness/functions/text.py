@@ -133,5 +133,7 @@ def scripts_of(word: Column) -> Column:
 
 
 def with_boundaries(pattern: str) -> str:
-    """Rewrite ``\\b`` as a Unicode word boundary."""
+    """Rewrite ``\\b`` as a Unicode word boundary, in its one-sided form next to a plain word character."""
+    pattern = re.sub(r"(?<=[A-Za-z0-9])\\b", lambda _: NOT_AFTER, pattern)
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9])", lambda _: NOT_BEFORE, pattern)
     return pattern.replace(r"\b", BOUNDARY)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,34 +12,58 @@ from inkwitness import fixed_values as V
 from inkwitness.functions import text as X
 
 
-def _literals(pattern: str) -> list[str]:
-    """For each alternative, a lower-case piece every match of it must contain."""
-    out = []
-    for branch in pattern.split("|\\b"):
-        plain = re.sub(r"\((?:\?:|\?!)[^)]*\)[?]?|\[[^\]]*\]", "\0", branch.replace(r"\b", "\0"))
-        plain = re.sub(r"\w\?", "\0", plain).replace(r"\s+", "\0").replace(r"\.", "\1").replace(r"\+", "\2").replace(".", "\0")
-        pieces = plain.replace("\1", ".").replace("\2", "+").split("\0")
-        out.append(max(pieces, key=len).lower())
-    return out
+def _plain_word(branch: str) -> bool:
+    return re.fullmatch(r"\\b\w+\\b", branch) is not None
 
 
-def skill_columns(text: Column) -> list[Column]:
-    low = F.lower(text)
-    out = []
-    for name in sorted(V.SKILL_PATTERNS):
-        pattern = V.SKILL_PATTERNS[name]
-        # a plain substring test is far cheaper than the expression it guards
-        maybe = None
-        for piece in _literals(pattern):
-            test = F.contains(low, F.lit(piece))
-            maybe = test if maybe is None else maybe | test
-        out.append(F.when(maybe & text.rlike("(?id)" + X.with_boundaries(pattern)), F.lit(name)))
-    return out
+def _branches(pattern: str) -> list[str]:
+    """Alternatives of a skill pattern, each with its leading boundary."""
+    first, *rest = pattern.split(r"|\b")
+    return [first] + [r"\b" + b for b in rest]
+
+
+def _required(branch: str) -> str:
+    """A lower-case piece every match of ``branch`` must contain."""
+    plain = re.sub(r"\((?:\?:|\?!)[^)]*\)[?]?|\[[^\]]*\]", "\0", branch.replace(r"\b", "\0"))
+    plain = re.sub(r"\w\?", "\0", plain).replace(r"\s+", "\0").replace(r"\.", "\1").replace(r"\+", "\2").replace(".", "\0")
+    return max(plain.replace("\1", ".").replace("\2", "+").split("\0"), key=len).lower()
+
+
+def _first_word(branch: str) -> str | None:
+    """The whole word every match of ``branch`` starts with, where the pattern fixes one."""
+    head = re.match(r"\\b(\w+)(?=\\b|\\s\+|\\\.|/|-)", branch)
+    return head.group(1).lower() if head else None
 
 
 def extract_skills(text: Column) -> Column:
-    """Sorted names of the skills a text mentions."""
-    return F.array_compact(F.array(*skill_columns(text)))
+    """Sorted names of the skills a text mentions.
+
+    Alternatives that are one plain word are looked up among the words of the text, which are split
+    off once.  The others are expressions, each behind a test that is far cheaper than it: its first
+    word, or failing that a piece of it, must be there.
+    """
+    low = F.lower(text)
+    singles = sorted({w for p in V.SKILL_PATTERNS.values() for w in map(_first_word, _branches(p)) if w})
+    all_words = F.regexp_extract_all(low, F.lit(X.ANY_WORD), F.lit(0))
+    present = F.array_intersect(all_words, F.array(*[F.lit(w) for w in singles]))
+
+    def names(present: Column, low: Column) -> Column:
+        out = []
+        for name in sorted(V.SKILL_PATTERNS):
+            tests = []
+            for branch in _branches(V.SKILL_PATTERNS[name]):
+                if _plain_word(branch):
+                    tests.append(F.array_contains(present, branch[2:-2].lower()))
+                else:
+                    head = _first_word(branch)
+                    maybe = F.array_contains(present, head) if head else F.contains(low, F.lit(_required(branch)))
+                    tests.append(maybe & text.rlike("(?id)" + X.with_boundaries(branch)))
+            out.append(F.when(reduce(or_, tests), F.lit(name)))
+        return F.array_compact(F.array(*out))
+
+    # a lambda over a one-element array evaluates the shared parts once per text
+    shared = F.array(F.struct(present.alias("present"), low.alias("low")))
+    return F.get(F.transform(shared, lambda s: names(s["present"], s["low"])), F.lit(0))
 
 
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
