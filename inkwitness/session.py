@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,12 +43,24 @@ def local_session(cpus: str = "8", memory: str = "16g", partitions: str | None =
     return spark
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder every executor shares, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a single-machine session may do without that setting: driver and executors are one process there, so a
+    temporary folder of its own serves. On a cluster a missing setting is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master: {master})")
+        key = spark.sparkContext.applicationId
+        if key not in _own_folder:
+            _own_folder[key] = tempfile.mkdtemp(prefix="spark-")
+        folder = f"file://{_own_folder[key]}"
     return folder.rstrip("/")
 
 
@@ -56,13 +69,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     For results that several branches of a job read: they are computed once, later scans stay
     columnar (pruning and pushdown still work), and a lost executor costs a re-read, not a re-run.
+    The table is removed when the application ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwitness/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``materialise`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out the rows of a scan that has fewer splits than there are cores.
 
