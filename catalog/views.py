@@ -12,7 +12,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkwitness.schemas import SPAN_SCHEMA
-from inkwitness.session import prepare, spread
 
 REF_DATE = dt.date(2024, 6, 1)
 ZW, SHY, CO, PUA = "\u200B", "\u00AD", "\u043E", "\uE000"
@@ -23,11 +22,11 @@ def ref_date():
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def spans(spark, sf):
@@ -208,7 +207,7 @@ def jobs(spark, sf):
 def candidate_texts(spark, sf):
     """Document texts, some with skills added, each submitted for one job."""
     return documents(spark, sf).select(
-        "doc_id", (F.col("doc_id") % 40).alias("job_id"), F.concat("text", _tail(F.col("doc_id"), TEXT_TAILS)).alias("clean_text"))
+        "doc_id", (F.col("doc_id") % 200).alias("job_id"), F.concat("text", _tail(F.col("doc_id"), TEXT_TAILS)).alias("clean_text"))
 
 
 def batched_texts(spark, sf):

@@ -120,6 +120,7 @@ def match_job(texts: DataFrame, jobs: DataFrame, text: str = "clean_text") -> Da
     ``texts(doc_id, job_id, <text>)``, ``jobs(job_id, job_text)``.  Both sides become term counts;
     the dot product is an equi-join on (job, term).  The job side has one row per job and term and
     the document side is spread over its terms, so one popular job does not end up in one task.
+    A text whose job is unknown is kept, with the note of an empty one.
     """
     docs = texts.select("doc_id", "job_id", F.col(text).alias("_body"))
     doc_terms = (
@@ -136,10 +137,10 @@ def match_job(texts: DataFrame, jobs: DataFrame, text: str = "clean_text") -> Da
     per_job = jobs.select("job_id", F.col("job_text"), extract_skills(F.col("job_text")).alias("job_skills")).join(
         job_terms.groupBy("job_id").agg(F.sum(F.col("job_tf") * F.col("job_tf")).alias("job_n2"), F.sum("job_tf").alias("job_tokens")),
         "job_id", "left")
-    blank = X.is_blank(F.col("_body")) | X.is_blank(F.col("job_text"))
+    blank = X.is_blank(F.col("_body")) | F.coalesce(X.is_blank(F.col("job_text")), F.lit(True))
     return (
         docs.withColumn("skills", extract_skills(F.col("_body")))
-        .join(per_doc, "doc_id", "left").join(per_job, "job_id")
+        .join(per_doc, "doc_id", "left").join(per_job, "job_id", "left")
         .withColumn("cosine", cosine(F.col("dot"), F.col("n2"), F.col("job_n2")))
         .select("doc_id", "job_id", *_match_columns(blank))
     )

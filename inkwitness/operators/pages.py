@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from inkwitness import fixed_values as V
 from inkwitness.functions import text as X
@@ -19,53 +19,61 @@ def page_char_counts(page_dims: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def _merge_count(ranks: np.ndarray) -> int:
-    """Pairs out of order: widths double, each level counted in one vectorised pass."""
-    n, width, total = len(ranks), 1, 0
-    order = ranks.astype(np.int64)
-    while width < n:
-        block = np.arange(n) // (2 * width)
-        right = (np.arange(n) // width) % 2 == 1
+def _merge_counts(ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pairs out of order on each page; pages of ``sizes`` lie one after another in ``ranks``.
+
+    Widths double inside the pages; each level is counted for all pages in one vectorised pass.
+    """
+    n, page = len(ranks), np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    width, total, order = 1, np.zeros(len(sizes), np.int64), ranks.astype(np.int64)
+    while width < sizes.max(initial=0):
+        block = page * (sizes.max() // (2 * width) + 1) + at // (2 * width)
+        right = (at // width) % 2 == 1
         # position of each right-half value among the sorted left half of its block
         keyed = block * (n + 1) + order
         left_keys = keyed[~right]
         before = np.searchsorted(left_keys, keyed[right])
         left_end = np.searchsorted(left_keys, (block[right] + 1) * (n + 1))
-        total += int((left_end - before).sum())
+        np.add.at(total, page[right], left_end - before)
         order = order[np.argsort(keyed, kind="stable")]
         width *= 2
     return total
 
 
 @F.pandas_udf(T.LongType())
-def _inversions(ranks: pd.Series) -> pd.Series:
-    return ranks.map(lambda r: _merge_count(np.asarray(r)))
+def _inversions(bands: pd.Series, lefts: pd.Series) -> pd.Series:
+    """Pairs of words, held in stored order, that reading order (band, then left edge) puts the other way round."""
+    sizes = bands.map(len).to_numpy()
+    if not sizes.sum():
+        return pd.Series(np.zeros(len(sizes), np.int64))
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    ranks = np.empty(len(page), np.int64)
+    ranks[np.lexsort((np.concatenate(lefts.to_list()), np.concatenate(bands.to_list()), page))] = np.arange(len(page))
+    return pd.Series(_merge_counts(ranks, sizes))
 
 
 def page_word_order(words: DataFrame) -> DataFrame:
     """How far the stored word order of a page is from its visual reading order.
 
-    ``words(doc_id, page, word_no, x0, y0, text)``.  Pages outside 8..4000 words score 0 and their
-    words are never gathered, so no group that reaches an array can exceed 4000 entries.
+    ``words(doc_id, page, word_no, x0, y0, text)``.  Pages of fewer than 8 words score 0.  One shuffle
+    gathers the words of each page; ranks and inversions are worked out for a batch of pages at once.
     """
     key = ["doc_id", "page"]
-    counts = words.groupBy(key).agg(F.count("*").alias("word_count"))
-    judged = counts.filter(F.col("word_count").between(V.MIN_WORDS_FOR_ORDER, V.MAX_WORDS_FOR_ORDER))
-    order = Window.partitionBy(key).orderBy("band", "x0", "word_no")
-    gathered = (
-        words.join(judged.select(key), key, "left_semi")
-        .withColumn("band", F.bround(F.col("y0") / V.VISUAL_BAND_PT, 0))
-        .withColumn("rank", F.row_number().over(order))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("word_no", "rank", "text"))).alias("w"))
-        .select(*key, _inversions(F.col("w.rank")).alias("inversions"),
-                F.slice(F.col("w.text"), 1, V.ORDER_SAMPLE_WORDS).alias("sample"))
-    )
+    band = F.bround(F.col("y0") / V.VISUAL_BAND_PT, 0)
+    pages = words.groupBy(key).agg(
+        F.count("*").alias("word_count"),
+        F.array_sort(F.collect_list(F.struct("word_no", band.alias("band"), "x0", "text"))).alias("w"))
     n = F.col("word_count")
+    judged = n >= V.MIN_WORDS_FOR_ORDER
+    none = F.array().cast("array<double>")
+    kept = lambda c: F.when(judged, F.col(f"w.{c}")).otherwise(none)
+    counted = pages.select(*key, "word_count", _inversions(kept("band"), kept("x0")).alias("inversions"),
+                           F.when(judged, F.slice(F.col("w.text"), 1, V.ORDER_SAMPLE_WORDS)).alias("sample"))
     pairs = F.greatest(n * (n - 1) / 2, F.lit(1.0))
-    return counts.join(gathered, key, "left").select(
+    return counted.select(
         *key, "word_count",
-        F.bround(F.coalesce("inversions", F.lit(0)) / pairs, 4).alias("disorder_ratio"),
+        F.bround(F.col("inversions") / pairs, 4).alias("disorder_ratio"),
         F.coalesce("sample", F.array().cast("array<string>")).alias("sample_words"),
     )
 

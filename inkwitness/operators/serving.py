@@ -68,13 +68,16 @@ def history_window(total: Column, offset: Column, size: int = V.HISTORY_WINDOW)
 # --- leaderboards ------------------------------------------------------------------------
 
 def leaderboard(rows: DataFrame) -> DataFrame:
-    """Best trust first, then best match; equal rows keep the order they were submitted in."""
-    return rows.orderBy(F.desc("trust_score"), F.desc(F.coalesce("true_match_score", F.lit(0.0))), "batch_pos")
+    """``rank`` in each batch: best trust, then best match, then the order of submission; a missing score counts as 0."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).desc()
+    return rows.withColumn("rank", F.row_number().over(
+        Window.partitionBy("batch_id").orderBy(zero("trust_score"), zero("true_match_score"), "batch_pos")))
 
 
 def leaderboard_by(rows: DataFrame, key: str, ascending: bool = False) -> DataFrame:
     value = F.coalesce(F.col(key), F.lit(0.0))
-    return rows.orderBy(value.asc() if ascending else value.desc(), "batch_pos")
+    return rows.withColumn("rank", F.row_number().over(
+        Window.partitionBy("batch_id").orderBy(value.asc() if ascending else value.desc(), "batch_pos")))
 
 
 # --- one scan ----------------------------------------------------------------------------
@@ -126,15 +129,17 @@ def inspect_counts(inspected: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_flagged")).alias("clean_span_count"))
 
 
-def clean_sample(inspected: DataFrame, limit: int = V.CLEAN_SAMPLE_SPANS) -> DataFrame:
-    """The first clean spans of each document (a report's sample)."""
+def clean_sample(inspected: DataFrame, limit: int | None = None) -> DataFrame:
+    """The clean spans of each document, or the first ``limit`` of them (a report's sample)."""
+    if limit is None:
+        return inspected.filter(~F.col("is_flagged"))
     order = Window.partitionBy("doc_id").orderBy("span_no")
     return inspected.filter(~F.col("is_flagged")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def inspect_by_page(inspected: DataFrame) -> DataFrame:
-    """Per page: the clean sample, then the flagged spans, each with the types that flagged it."""
-    shown = clean_sample(inspected).unionByName(inspected.filter("is_flagged"))
+def inspect_by_page(inspected: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per page: the clean spans (of a document the first ``limit``), then the flagged ones, each with the types that flagged it."""
+    shown = clean_sample(inspected, limit).unionByName(inspected.filter("is_flagged"))
     types = F.coalesce(F.transform("matching_signals", lambda m: m["signal_type"]), F.array().cast("array<string>"))
     entry = F.struct("is_flagged", "span_no", "text", types.alias("signal_types"))
     return shown.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("spans"))

@@ -18,6 +18,9 @@ def page_texts(spans: DataFrame) -> DataFrame:
 
 def extract_date_ranges(spans: DataFrame, ref_date: Column) -> DataFrame:
     """``date_ranges(doc_id, page, pos, start_d, end_d, raw)``; both ends must be real dates."""
+    # every range names a year, so pages without four digits in a row are never gathered
+    dated = spans.filter(F.col("text").rlike(r"\d{4}")).select("doc_id", "page").distinct()
+    spans = spans.join(dated, ["doc_id", "page"], "left_semi")
     hits = lambda group: F.regexp_extract_all(F.col("text"), F.lit(DATE_RANGE), F.lit(group))
     found = page_texts(spans).filter(F.col("text").rlike(DATE_RANGE)).select(
         "doc_id", "page", F.posexplode(F.arrays_zip(hits(0).alias("raw"), hits(1).alias("s"), hits(2).alias("e"))).alias("pos", "hit")

@@ -17,12 +17,6 @@ RUNTIME = {
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def local_session(cpus: str = "8", memory: str = "16g", partitions: str | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
@@ -86,12 +80,3 @@ def discard(*tables: DataFrame) -> None:
         for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share out the rows of a scan that has fewer splits than there are cores.
-
-    For a few large row groups ahead of heavy per-row text work; large tables are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

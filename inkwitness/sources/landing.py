@@ -10,7 +10,10 @@ from inkwitness.schemas import BOX
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """Paths and sizes only: the content column is pruned, so no file is opened."""
+    """Paths and sizes only: the content column is pruned, so no file is opened.
+
+    Spark's file source does not list files of 0 bytes; those have to come from the uploader's own list.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -18,19 +21,25 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str | None = None, limit: int = V.MAX_FILE_BYTES) -> DataFrame:
-    """Content of files up to ``limit`` bytes; larger ones are skipped by the source before reading."""
+    """Every file with path and length; content up to ``limit`` bytes, null beyond, as those files are never opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder).filter(F.col("length") <= limit)
+    files = reader.load(folder)
+    large = files.filter(F.col("length") > limit)
+    named = large.select(*(F.lit(None).cast("binary").alias(c) if c == "content" else c for c in files.columns))
+    return files.filter(F.col("length") <= limit).unionByName(named)
 
 
 def land_files(files: DataFrame) -> DataFrame:
-    """``files(path, content, ...)`` -> adds filename, sha256 and byte length."""
+    """``files(path, content[, length], ...)`` -> adds filename, sha256 and byte length, of unread files as listed."""
+    size = F.octet_length("content")
+    if "length" in files.columns:
+        size = F.coalesce(size, F.col("length"))
     return (
         files.withColumn("filename", F.element_at(F.split("path", "/"), -1))
         .withColumn("sha256", F.sha2("content", 256))
-        .withColumn("byte_length", F.octet_length("content").cast("long"))
+        .withColumn("byte_length", size.cast("long"))
     )
 
 
@@ -62,9 +71,9 @@ def dedupe_by_content(documents: DataFrame) -> DataFrame:
         F.min_by(F.struct(*others), F.struct("uploaded_at", "doc_id")).alias("d")).select("sha256", "owner_id", "d.*").select(documents.columns)
 
 
-def replace_scan_rows(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored rows of re-scanned documents give way to the fresh ones."""
-    return stored.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
+def replace_scan_rows(stored: DataFrame, fresh: DataFrame, rescanned: DataFrame) -> DataFrame:
+    """Stored rows of ``rescanned(doc_id)`` give way to the fresh ones; a document without fresh rows has none left."""
+    return stored.join(rescanned.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
 
 
 def _packed_fields() -> list[str]:
@@ -144,20 +153,16 @@ def read_evolving(spark: SparkSession, *folders: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*folders)
 
 
-def union_evolving(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new, allowMissingColumns=True)
-
-
-def store_results(tables: dict[str, DataFrame], folder: str, buckets: int = 0) -> None:
+def store_results(tables: dict[str, DataFrame], folder: str, buckets: int = 0, writers: int = 8) -> None:
     """Write result tables under one folder.
 
     With ``buckets`` a table is split by a hash of the document into that many folders, so a reader
-    of one document prunes all but one of them.
+    of one document prunes all but one of them.  ``writers`` tasks write each folder.
     """
     for name, df in tables.items():
         path = f"{folder.rstrip('/')}/{name}"
         if buckets and "doc_id" in df.columns:
             placed = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-            placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            placed.repartition("bucket", F.pmod(F.spark_partition_id(), F.lit(writers))).write.mode("overwrite").partitionBy("bucket").parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)

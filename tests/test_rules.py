@@ -125,7 +125,7 @@ def test_word_order_counts_inversions(spark, n):
     random.Random(n).shuffle(order)
     rows = [(1, 1, i, float(o % 10) * 50, float(o // 10) * 14, f"w{o}") for i, o in enumerate(order)]
     out = pages.page_word_order(spark.createDataFrame(rows, "doc_id long, page int, word_no int, x0 double, y0 double, text string")).collect()[0]
-    if 8 <= n <= 4000:
+    if n >= 8:
         inversions = sum(order[i] > order[j] for i in range(n) for j in range(i + 1, n))
         assert out.disorder_ratio == round(inversions / (n * (n - 1) / 2), 4) and len(out.sample_words) == min(n, 40)
     else:
