@@ -75,4 +75,47 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_pack, op5_edit_aware_counts,
                                    op6_syncmer_fingerprints, op7_url_association_rules, op8_ngram_jaccard_join,
                                    op9_quality_classifier, op10_line_dedup, pipeline)}
-SQL: dict[str, str] = {}
+#: The rest learn, sample anchors, band or tokenize, which SQL can't follow; tests compare those with brute force.
+SQL: dict[str, str] = {
+    "op1_mix_sources": """
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap FROM s),
+o AS (SELECT *, (SELECT 1.5e0 * CAST(sum(size) AS BIGINT) FROM d) AS total,
+             CAST(coalesce(sum(cap) OVER (ORDER BY cap / CAST(weight AS DOUBLE), k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+             CAST(sum(weight) OVER (ORDER BY cap / CAST(weight AS DOUBLE), k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weights FROM w),
+f AS (SELECT *, (total - before) * weight / weights > cap AS full_up FROM o),
+t AS (SELECT source, source_size, CASE WHEN full_up THEN CAST(cap AS DOUBLE) ELSE
+        (total - CAST((SELECT coalesce(sum(cap), 0) FROM f WHERE full_up) AS BIGINT)) * weight / CAST((SELECT sum(weight) FROM f WHERE NOT full_up) AS BIGINT) END AS target FROM f),
+p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5e0) AS BIGINT) AS flow,
+             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target,
+       least(greatest(flow - place, 0), size) + least(greatest(flow - source_size - place, 0), size) AS taken FROM p""",
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept
+FROM e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id""",
+    "op8_ngram_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, len(words) AS n, unnest(words) AS a, generate_subscripts(words, 1) AS k FROM w WHERE len(words) > 0),
+s AS (SELECT doc_id, n, k, a || ' ' || lead(a, 1) OVER (PARTITION BY doc_id ORDER BY k) || ' ' || lead(a, 2) OVER (PARTITION BY doc_id ORDER BY k) AS three FROM u),
+g AS (SELECT DISTINCT doc_id, three AS gram FROM s WHERE n >= 3 AND three IS NOT NULL
+      UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) IN (1, 2)),
+z AS (SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n_shingles + y.n_shingles - both)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(z.n_shingles, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN z ON z.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id""",
+}
