@@ -112,8 +112,8 @@ s AS (SELECT doc_id, n, k, a || ' ' || lead(a, 1) OVER (PARTITION BY doc_id ORDE
 g AS (SELECT DISTINCT doc_id, three AS gram FROM s WHERE n >= 3 AND three IS NOT NULL
       UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) IN (1, 2)),
 z AS (SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n_shingles + y.n_shingles - both)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n_shingles + y.n_shingles - shared)),
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(z.n_shingles, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id
