@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwitness import fixed_values as V
+from inkwitness.operators.signals import with_weights
 
 CATEGORIES = list(V.RISK_WEIGHTS)
 
@@ -32,7 +33,12 @@ def _category_sums(category: Column) -> list[Column]:
 
 
 def risk_breakdown(docs: DataFrame, signals: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """Points per category, each capped at its weight; types without a category add nothing."""
+    """Points per category, each capped at its weight; types without a category add nothing.
+
+    Other ``weights`` change the points of a signal as well as the caps.
+    """
+    if weights is not None:
+        signals = with_weights(signals, weights)
     weights = weights or V.RISK_WEIGHTS
     sums = signals.groupBy("doc_id").agg(*_category_sums(_category(F.col("signal_type"), V.SIGNAL_CATEGORY)))
     capped = docs.join(sums, "doc_id", "left").fillna(0, subset=CATEGORIES)
@@ -50,6 +56,8 @@ def risk_total() -> Column:
 
 def summarise_signals(docs: DataFrame, signals: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """Counts, capped breakdown, total risk and signal types per document from one aggregate."""
+    if weights is not None:
+        signals = with_weights(signals, weights)
     weights = weights or V.RISK_WEIGHTS
     sev, kind = F.col("severity"), F.col("signal_type")
     types_of = lambda s: F.array_sort(F.collect_set(F.when(sev == s, kind)))

@@ -37,6 +37,14 @@ def points_for(signal_type: str, severity: Column) -> Column:
     return out.when(severity == "medium", table[category, "medium"]).otherwise(table[category, "low"])
 
 
+def with_weights(signals: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """Signals with the points that other category weights give; types without a category keep theirs."""
+    entries = [F.lit(x) for pair in V.SIGNAL_CATEGORY.items() for x in pair]
+    category = F.try_element_at(F.create_map(*entries), F.col("signal_type"))
+    points = F.when(category.isNotNull(), signal_points(category, F.col("severity"), weights)).otherwise(F.col("risk_points"))
+    return signals.withColumn("risk_points", points.cast("int"))
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "high", 0).when(severity == "medium", 1).when(severity == "low", 2).otherwise(3)
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from inkwitness import fixed_values as V
 from inkwitness.operators import matching, metadata, pages, scoring, serving
 from inkwitness.operators import near_duplicates as N
 
@@ -54,6 +55,16 @@ def test_risk_is_capped_by_category(spark):
     assert 0 < rows[1].total < 100 and rows[2].total == 0
 
 
+def test_other_weights_change_points_and_caps(spark):
+    docs = spark.createDataFrame([(1,)], "doc_id long")
+    category = V.SIGNAL_CATEGORY["hidden_text"]
+    weights = {c: (40 if c == category else 0) for c in V.RISK_WEIGHTS}
+    one = spark.createDataFrame([(1, "hidden_text", "high", 1)], "doc_id long, signal_type string, severity string, risk_points int")
+    assert scoring.risk_breakdown(docs, one, weights).first()[category] == 40
+    assert scoring.risk_breakdown(docs, one.unionByName(one), weights).first()[category] == 40
+    assert scoring.summarise_signals(docs, one, weights).first()["forensic_risk_score"] == 40
+
+
 def test_skill_aliases(spark):
     df = spark.createDataFrame([("We run K8s on GCP with JAVASCRIPT",), ("Java only",), ("nothing here",)], "t string")
     got = [r.s for r in df.select(matching.extract_skills(F.col("t")).alias("s")).collect()]
