@@ -25,7 +25,7 @@ from ..session import materialise
 from .common import components, over_batches
 
 #: Vectors that train the codebooks, about, chosen by hash; codewords in a half at most; members of a cell aimed at.
-SAMPLE, WORDS, CELL = 8192, 256, 128
+SAMPLE, WORDS, CELL = 8192, 256, 512
 #: Members and visitors in one block.
 BLOCK = 512
 
@@ -79,7 +79,7 @@ def _radius(sample: np.ndarray, books: tuple, least: float, recall: float) -> fl
     x = sample[:2048]
     step = draw.normal(size=x.shape)
     step -= (step * x).sum(1)[:, None] * x
-    step /= np.linalg.norm(step, axis=1)[:, None]
+    step /= np.maximum(np.linalg.norm(step, axis=1), 1e-300)[:, None]
     y = least * x + np.sqrt(1 - least * least) * step
     a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
     left, right = np.concatenate([x, x[a[:20000]]]), np.concatenate([y, x[b[:20000]]])
@@ -123,7 +123,7 @@ def _meet(visitors: pd.DataFrame, members: pd.DataFrame, cosine: float) -> pd.Da
     return out[(out["links"] > 0) | (out["led"] != out["id"])]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 1.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999) -> DataFrame:
     """Links between vectors of the same label whose cosine is at least ``cosine``, and their components.
 
     ``vectors`` has vec_id, embedding (array of numbers) and label; other columns are ignored. Returns one row per row:
@@ -131,6 +131,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 1.
     (vec_id = component_id). A vector that is null, empty, zero or holds a null or non-finite component, or whose label
     is null, links with nothing, as do vectors of different length; a null vec_id links with nothing and is not kept.
     Repeated rows link with each other; rows of one vec_id with different vectors are one node.
+
+    ``recall`` is the share of links just at ``cosine`` that one visit of either vector has to find; a link is missed only
+    if both miss, and closer vectors are found more surely. 1.0 visits every cell that can hold a link, which is exact but
+    visits many cells of a fine grid.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)

@@ -1,5 +1,4 @@
 import math
-import random
 
 import numpy as np
 import pytest
@@ -40,7 +39,7 @@ def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     monkeypatch.setattr(embedding_dedup, "CELL", 8)
     rows = planted()
-    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=1.0).collect()}
 
     def linked(a, b):
         (x, l), (y, m) = held[a], held[b]
@@ -75,7 +74,7 @@ def test_bound_visits_every_cell_that_may_hold_a_link():
 
 def test_lower_recall_finds_most(spark):
     rows = planted()
-    full = sum(r.n_links for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    full = sum(r.n_links for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=1.0).collect())
     most = sum(r.n_links for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=0.95).collect())
     assert 0.9 * full <= most <= full
 
@@ -85,4 +84,3 @@ def test_empty_repeated_and_clashing(spark):
     rows = [(1, [1.0, 0.0], 0, "x", 5), (1, [1.0, 0.0], 0, "x", 5), (None, [1.0, 0.0], 0, "y", 6), (4, [1.0, 0.01], 0, None, None)]
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA + ", name string, copies int")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in out) == [(0, 0, 0, False), (1, 2, 1, True), (1, 2, 1, True), (4, 2, 1, False)]
-    assert random.Random(0)
