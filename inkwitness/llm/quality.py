@@ -117,14 +117,19 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
 def train(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> np.ndarray:
     """Weights of a logistic scorer for soft labels ``y``, by accelerated gradient descent."""
-    weights, ahead = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    if not len(x):
+        return np.zeros(x.shape[1])
+    used = np.flatnonzero(x.any(0))  # the other weights stay 0
+    out, x = np.zeros(x.shape[1]), x[:, used].astype(float)
+    weights, ahead = np.zeros(len(used)), np.zeros(len(used))
     rate = 4 / np.max((x * x).sum(1), initial=1)
-    for turn in range(rounds if len(x) else 0):
+    for turn in range(rounds):
         wrong = 1 / (1 + np.exp(-np.clip(x @ ahead, -500, 500))) - y
         following = ahead - rate * (x.T @ wrong / len(x) + penalty * ahead)
         ahead = following + turn / (turn + 3) * (following - weights)
         weights = following
-    return weights
+    out[used] = weights
+    return out
 
 
 @dataclass(frozen=True)
