@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, materialise, shared_folder
+from ..session import discard, materialise
 
 #: One word: what stands between ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -53,16 +52,16 @@ def running_total(df: DataFrame, group: list[str], order: list[str], amount: Col
     return left.join(starts.alias("r"), same).select(*kept, (F.col("_start") + F.col("_inside")).alias(name))
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written to the shared folder in buckets of ``key``: joins and aggregates by it need no shuffle of the table."""
-    spark = df.sparkSession
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/inkwitness/{table_name}"
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(count, key).option("path", path).saveAsTable(table_name)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.table(table_name)
+def thinned(df: DataFrame, key: str, wanted: DataFrame, words: int = 1 << 16) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``wanted``: at least all of those, ahead of a join that would shuffle ``df``.
+
+    The wanted keys set bits in a bitmap of fixed size (64 bits in each of ``words`` rows), which is small enough to send
+    to every task whatever the table. With very many keys it fills up and thins less.
+    """
+    spot = f"pmod(xxhash64({key}), {64 * words})"
+    word, bit = F.expr(f"cast({spot} div 64 as int)"), F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return df.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(df.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

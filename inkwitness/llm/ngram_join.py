@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import components, over_batches
+from .common import components, over_batches, thinned
 
 #: log2 of the number of counters: 8 MB in the driver, 1 MB of ranks in each task, whatever the corpus.
 COUNTER_BITS = 20
@@ -159,9 +159,10 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     same = (filled.select("doc_id", "set_name").join(classes, "set_name").where("doc_id <> first")
             .select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
 
-    # one row of each class stands for it
-    stands = (filled.join(classes.select(F.col("set_name"), F.col("first").alias("doc_id")), ["set_name", "doc_id"])
-              .dropDuplicates(["set_name"]))
+    # one document of each class stands for it; their prefixes move once
+    stands = materialise(
+        filled.join(classes.select("set_name", F.col("first").alias("doc_id")), ["set_name", "doc_id"], "left_semi")
+        .select("doc_id", "n_shingles", "prefix", "parts"), "stands")
     rows = stands.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
     shared = rows.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("pos", "doc_id")).alias("lead")).where("held > 1")
     meeting = rows.join(shared.select("gram", F.col("lead.doc_id").alias("leader")), "gram")
@@ -172,8 +173,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     proposals = materialise(
         meeting.where("doc_id <> leader").join(leaders, "gram").where(_may_link(percent))
         .select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "proposals")
-    wanted = proposals.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = _sets(docs, wanted.distinct(), n)
+    sets = _sets(docs, proposals.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
     links = materialise(_verified(proposals, sets, percent), "links")
     led = components(links)
 
@@ -207,5 +207,5 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             [batch.column(0), pa.array([ngram_set(text, n).tobytes() for text in batch.column(1).to_pylist()], pa.binary())],
             ["doc_id", "members"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    own = thinned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
     return materialise(over_batches(own, gather, "doc_id long, members binary"), "sets")
