@@ -26,6 +26,8 @@ from .common import over_batches
 SAMPLE = 8000
 #: Hashed features, of which the last two are the bias and the share of repeated triples of words.
 WIDTH = 1024
+#: Characters of a piece; a word is one piece unless it is longer.
+PIECE = 64
 #: A document stays when its score is at least this.
 KEEP = 0.5
 
@@ -69,11 +71,11 @@ def votes(stats: tuple[float, ...]) -> int:
 
 
 class _Shapes(dict):
-    """Bucket of a word's shape: letters as a or A, digits as 0, runs as one, other characters as they are."""
+    """Bucket of the shape of a piece of a word: letters as a or A, digits as 0, runs as one, other characters as they are."""
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode(errors="replace")
-        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text[:64]))
+        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text))
         value = xxhash.xxh3_64_intdigest(shape.encode()) % (WIDTH - 2)
         if len(self) < 300_000:
             self[word] = value
@@ -83,11 +85,26 @@ class _Shapes(dict):
 _shapes = _Shapes()
 
 
+def pieces(words: list[bytes]) -> list[bytes]:
+    """The words, those of more than ``PIECE`` characters cut into successive pieces of so many."""
+    if not words or len(max(words, key=len)) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= PIECE:
+            out.append(word)
+        else:
+            text = word.decode(errors="replace")
+            out.extend(text[i:i + PIECE].encode() for i in range(0, len(text), PIECE))
+    return out
+
+
 def features(words: list[bytes]) -> np.ndarray:
-    """Shares of the hashed word shapes, square-rooted; then the bias and the share of repeated triples of words."""
+    """Shares of the hashed shapes of all pieces, square-rooted; then the bias and the share of repeated triples of words."""
     out = np.zeros(WIDTH)
     if words:
-        out[:WIDTH - 2] = np.sqrt(np.bincount(np.fromiter(map(_shapes.__getitem__, words), np.int64), minlength=WIDTH - 2) / len(words))
+        parts = pieces(words)
+        out[:WIDTH - 2] = np.sqrt(np.bincount(np.fromiter(map(_shapes.__getitem__, parts), np.int64), minlength=WIDTH - 2) / len(parts))
         out[-1] = 1 - len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) >= 10 else 0
     out[-2] = 1
     return out
