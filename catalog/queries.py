@@ -768,7 +768,7 @@ RISK_OUT = ["doc_id", "total_signals", "high_count", "medium_count", "low_count"
 
 @query
 def scan_risk(spark, sf):
-    """Flagship: signals of every document, capped risk, trust and label."""
+    """Flagship: span and timeline signals of every document, capped risk, trust and label."""
     return risk_by_document(_docs(spark, sf), _evidence(spark, sf)).select(RISK_OUT)
 
 
