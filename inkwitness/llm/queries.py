@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries, and their SQL where there is any."""
+"""The operators and the pipeline as registered queries, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_rules
+from . import conversation_repair, conversation_sql, conversation_trie, edit_counts, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_rules
 from .common import table, word_count
 
 
@@ -66,6 +66,22 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, with faults put into its rows, as the search repairs it."""
+    turns = table(spark, folder, "conversations")
+    found = conversation_repair.repair_report(conversation_repair.damaged(turns))
+    every = turns.select("conv_id").distinct().alias("c").join(found.alias("f"), F.col("c.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("c.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun like the first of its hundred."""
+    turns = table(spark, folder, "conversations")
+    return conversation_trie.trie_of(conversation_trie.rebuilt(conversation_trie.numbered(conversation_trie.turn_facts(turns))), turns.select("conv_id"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,9 +90,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_pack, op5_edit_aware_counts,
                                    op6_syncmer_fingerprints, op7_url_association_rules, op8_ngram_jaccard_join,
-                                   op9_quality_classifier, op10_line_dedup, pipeline)}
+                                   op9_quality_classifier, op10_line_dedup, op12_conversation_repair, op13_conversation_trie, pipeline)}
 #: The rest learn, sample anchors, band or tokenize, which SQL can't follow; tests compare those with brute force.
 SQL: dict[str, str] = {
+    "op12_conversation_repair": conversation_sql.OP12,
+    "op13_conversation_trie": conversation_sql.OP13,
     "op1_mix_sources": """
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
