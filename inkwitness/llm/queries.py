@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, conversation_sql, conversation_trie, edit_counts, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_rules
+from . import conversation_repair, conversation_sql, conversation_trie, edit_counts, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, personal_data, quality, toxicity, url_rules
 from .common import table, word_count
 
 
@@ -66,6 +66,15 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: the base kinds counted, and all spans."""
+    found = personal_data.personal_data(table(spark, folder, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    kinds = [of_kind(k) for k in personal_data.BASE]
+    return found.select("doc_id", *kinds, F.sha2(personal_data.spelt(F.col("base")), 256).alias("base_sha256"),
+                        personal_data.spelt(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, with faults put into its rows, as the search repairs it."""
     turns = table(spark, folder, "conversations")
@@ -90,7 +99,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_pack, op5_edit_aware_counts,
                                    op6_syncmer_fingerprints, op7_url_association_rules, op8_ngram_jaccard_join,
-                                   op9_quality_classifier, op10_line_dedup, op12_conversation_repair, op13_conversation_trie, pipeline)}
+                                   op9_quality_classifier, op10_line_dedup, op11_personal_data,
+                                   op12_conversation_repair, op13_conversation_trie, pipeline)}
 #: The rest learn, sample anchors, band or tokenize, which SQL can't follow; tests compare those with brute force.
 SQL: dict[str, str] = {
     "op12_conversation_repair": conversation_sql.OP12,
