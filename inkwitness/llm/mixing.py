@@ -19,8 +19,6 @@ from .common import running_total
 WEIGHTS = (5, 2, 1)
 #: A pattern's documents are counted in so many bins of their seeded order.
 ORDER_BINS = 4096
-#: Membership patterns that the driver's network may have: a mix names its sources, so patterns don't follow the corpus.
-MAX_PATTERNS = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> dict[str | None, float]:
@@ -102,26 +100,41 @@ def route(supply: list[int], members: list[list[int]], demand: list[int], repeat
     return flow
 
 
+def settle(supply: list[int], members: list[list[int]], demand: list[int], repeats: int) -> list[dict[int, int]]:
+    """``route``, with sources that share no document settled in closed form, so that the network has overlaps only."""
+    overlapping = {s for held in members if len(held) > 1 for s in held}
+    inner = [p for p, held in enumerate(members) if any(s in overlapping for s in held)]
+    names = sorted(overlapping)
+    number = {s: i for i, s in enumerate(names)}
+    flow: list[dict[int, int]] = [{held[0]: min(demand[held[0]], repeats * supply[p])} if len(held) == 1 else {} for p, held in enumerate(members)]
+    found = route([supply[p] for p in inner], [[number[s] for s in members[p]] for p in inner], [demand[s] for s in names], repeats)
+    for p, part in zip(inner, found, strict=True):
+        flow[p] = {names[s]: words for s, words in part.items()}
+    return flow
+
+
+ADDED = ("size", "source_size", "target", "taken", "whole")
+
+
 def mix(docs: DataFrame, members: Column, size: Column, asked: dict[str | None, float] | None = None, repeats: int = 2,
         seed: str = "mix") -> DataFrame:
     """``docs`` with what a mix takes of each document.
 
     ``members`` is the array of sources that hold a document (a null entry is a source of its own; a null or empty array
-    is in no source and nothing of it is taken); ``size`` its words. ``asked`` are the words wanted of each source, by
-    default ``targets`` of the sizes. Adds: size; source_size and target, of the first member; taken, words the mix takes
-    (a document is taken whole, or repeated, except the one at which a pattern's share ends); ``whole``, how many whole
-    copies that makes, the last one rounded. Documents of equal id and size share their place in the seeded order, which
-    depends on ids and ``seed`` alone, so that reruns agree. Sources are the mix's own list: at most ``MAX_PATTERNS``
-    membership patterns, else an error.
+    is in no source and nothing of it is taken); ``size`` its words, null counting 0. ``asked`` are the words wanted of each
+    source, by default ``targets`` of the sizes. Adds: size; source_size and target, of the first member; taken, words the
+    mix takes (a document is taken whole, or repeated, except the one at which a pattern's share ends); ``whole``, how many
+    whole copies that makes, the last one rounded. A column of ``docs`` with one of these names gives way; all others stay,
+    whatever their names. Every row is a document, also where ids repeat or are null; rows of equal id and size stand next
+    to each other in the seeded order, which depends on ids and ``seed`` alone, so that reruns agree. The driver holds one
+    row per membership pattern.
     """
     spark = docs.sparkSession
-    clash = [c for c in docs.columns if c in {"members", "size", "source_size", "target", "taken", "whole", "pattern"}]
-    known = docs.drop(*clash) if clash else docs
-    known = docs.select(*(F.col(c) for c in known.columns), F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size"))
-    found = known.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: name the sources of the mix")
-    found = sorted(((list(r["members"] or []), r["size"]) for r in found), key=lambda r: [(s is None, s or "") for s in r[0]])
+    held = F.coalesce(F.array_sort(F.array_distinct(members)), F.array().cast("array<string>"))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED), F.col("doc_id").alias("_id"))
+    known = docs.select(own.alias("_row"), held.alias("members"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    found = known.groupBy("members").agg(F.sum("size").alias("size")).collect()
+    found = sorted(((list(r["members"]), r["size"]) for r in found), key=lambda r: [(s is None, s or "") for s in r[0]])
     sizes: dict[str | None, int] = {}
     for held, total in found:
         for s in held:
@@ -129,21 +142,20 @@ def mix(docs: DataFrame, members: Column, size: Column, asked: dict[str | None,
     asked = targets(sizes, repeats=repeats) if asked is None else {s: asked.get(s, 0.0) for s in sizes}
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
-    flow = route([t for _, t in found], [[number[s] for s in held] for held, _ in found],
-                 [int(asked[s] + 0.5) for s in names], repeats)
+    flow = settle([t for _, t in found], [[number[s] for s in held] for held, _ in found], [int(asked[s] + 0.5) for s in names], repeats)
     plan = spark.createDataFrame(
         [(held, total, sum(part.values()), sizes[held[0]] if held else None, asked[held[0]] if held else None)
          for (held, total), part in zip(found, flow, strict=True)],
         "members array<string>, supply long, flow long, source_size long, target double")
 
-    joined = known.withColumn("members", F.coalesce("members", F.array().cast("array<string>"))).join(F.broadcast(plan), "members")
-    joined = joined.withColumn("_mark", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    order = ["_mark", "doc_id", "size"]
+    joined = known.join(plan, "members").withColumn("_mark", F.md5(F.concat_ws(":", F.lit(seed), F.col("_row._id").cast("string"))))
+    joined = joined.withColumn("_id", F.col("_row._id"))
     width = len(f"{ORDER_BINS - 1:x}")
-    placed = running_total(joined, ["members"], order, F.col("size"),
+    placed = running_total(joined, ["members"], ["_mark", "_id", "size"], F.col("size"),
                            F.conv(F.substring("_mark", 1, width), 16, 10).cast("int"), "_at")
     part = lambda copy: F.least(F.greatest(F.col("flow") - copy * F.col("supply") - F.col("_at"), F.lit(0)), F.col("size"))
     taken = sum((part(copy) for copy in range(1, repeats)), part(0))
     placed = placed.withColumn("taken", taken.cast("long"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return placed.withColumn("whole", whole).drop("supply", "flow", "_mark", "_at", "members")
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return placed.withColumn("whole", whole).select(*kept, *ADDED)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkwitness.llm.mixing import mix, route, targets
+from inkwitness.llm.mixing import mix, route, settle, targets
 
 
 def brute_targets(sizes, share=1.5):
@@ -71,3 +71,21 @@ def test_mix_of_overlapping_sources(spark):
 
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string, words long"), F.array("source"), F.col("words")).collect() == []
+
+
+def test_null_and_empty_memberships_and_names_that_clash(docs):
+    rows = [(1, None, 4, "a", 1), (2, [], 5, "b", 2), (3, ["s"], 6, "c", 3), (3, ["s"], 6, "d", 4)]
+    table = docs(rows, "doc_id long, members array<string>, words long, flow string, supply int")
+    out = mix(table, F.col("members"), F.col("words")).collect()
+    assert sorted((r.doc_id, r.flow, r.supply, r.size) for r in out) == [(1, "a", 1, 4), (2, "b", 2, 5), (3, "c", 3, 6), (3, "d", 4, 6)]
+    assert all(r.taken == 0 for r in out if r.doc_id < 3) and all(r.members == ["s"] for r in out if r.doc_id == 3)
+
+
+def test_sources_apart_are_settled_like_the_network():
+    supply, members, demand = [10, 7, 5, 9, 4], [[0], [1], [1, 2], [2], [3]], [25, 9, 12, 3]
+    assert [sum(f.values()) for f in settle(supply, members, demand, 2)] == [sum(f.values()) for f in route(supply, members, demand, 2)]
+
+
+def test_more_sources_than_any_network_takes(spark):
+    table = spark.range(120_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    assert mix(table, F.array("source"), F.lit(3)).where("taken > 0").count() > 60_000
