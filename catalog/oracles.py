@@ -352,6 +352,35 @@ CTES["coverage"] = (
     "(SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page, sum(greatest(l_quantity * 12, 0) * greatest(l_quantity * 15, 0)) AS area FROM lineitem GROUP BY ALL)")
 CTES["sig_image"] = "SELECT " + signal("image_only_page", "'high'", "'STRONG'", "high", desc(
     "image_only_page", page="page", percent=pct("image_area_ratio"), chars="text_char_count"), span="NULL", box=False) + " FROM coverage WHERE image_area_ratio > 0.5 AND text_char_count < 25"
+# --- everything known of a document, under the limits of its owner's organisation
+_AT = lambda minutes: f"'D:' || strftime(TIMESTAMP '2020-01-01 00:00:00' + to_minutes(CAST({minutes} AS BIGINT)), '%Y%m%d%H%M%S')"
+CTES["doc_dates"] = (
+    f"SELECT doc_id, CASE WHEN doc_id % 10 <> 1 THEN {_AT('doc_id * 37 % 100000')} END AS creation_date, {_AT('doc_id * 37 % 100000 + (doc_id * 7) % 400 - 60')} AS mod_date, "
+    "CASE doc_id % 10 WHEN 0 THEN 'Canva' WHEN 2 THEN 'Google Docs' WHEN 1 THEN NULL ELSE 'Microsoft Word' END AS creator, (doc_id * 7) % 400 - 60 AS gap FROM documents")
+CTES["doc_meta"] = CTES["meta"].replace("FROM pdf_dates", "FROM doc_dates")
+CTES["doc_tools"] = CTES["tools"].replace("FROM meta", "FROM doc_meta")
+for _name in ("tool", "rapid", "reversed", "stripped"):
+    CTES[f"sig_doc_{_name}"] = CTES[f"sig_{_name}"].replace(" FROM tools ", " FROM doc_tools ").replace(" FROM meta ", " FROM doc_meta ")
+CTES["doc_images"] = (
+    "SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 1000 ELSE 1 END AS page, CASE WHEN doc_id % 9 = 4 THEN 600.0e0 * 700.0e0 ELSE 500.0e0 * 600.0e0 END AS area "
+    "FROM documents WHERE doc_id % 9 IN (4, 5)")
+CTES["doc_pages"] = "SELECT doc_id, page FROM page_dims UNION ALL SELECT doc_id, 1000 FROM documents WHERE doc_id % 9 = 4"
+CTES["doc_chars"] = f"SELECT doc_id, page, CAST(sum(length({strip('text')})) AS BIGINT) AS chars FROM spans GROUP BY doc_id, page"
+CTES["doc_coverage"] = (
+    "SELECT p.doc_id, p.page, coalesce(chars, 0) AS text_char_count, round_even(least(coalesce(area, 0) / (612.0e0 * 792.0e0), 1.0e0), 4) AS image_area_ratio "
+    "FROM doc_pages p LEFT JOIN doc_images i ON i.doc_id = p.doc_id AND i.page = p.page LEFT JOIN doc_chars c ON c.doc_id = p.doc_id AND c.page = p.page")
+CTES["sig_doc_image"] = CTES["sig_image"].replace(" FROM coverage ", " FROM doc_coverage ")
+CTES["doc_limits"] = (
+    "SELECT doc_id, coalesce(near_white, 30) AS white_limit, coalesce(tiny, 1.0e0) AS tiny_limit FROM (SELECT doc_id, doc_id % 997 + 1 AS owner_id FROM documents) "
+    "LEFT JOIN owner_rows USING (owner_id) LEFT JOIN setting_rows USING (organization)")
+CTES["limited_spans"] = "SELECT * FROM spans JOIN doc_limits USING (doc_id)"
+_OWN = lambda kind: CTES[f"sig_{kind}"].replace(" FROM spans ", " FROM limited_spans ")
+CTES["sig_own_hidden"] = _OWN("hidden").replace("< 30 AND", "< white_limit AND").replace("CAST(30 AS VARCHAR)", "CAST(white_limit AS VARCHAR)")
+CTES["sig_own_tiny"] = _OWN("tiny").replace("font_size <= 1.0 AND", "font_size <= tiny_limit AND").replace("CAST('1.0' AS VARCHAR)", "CAST(tiny_limit AS VARCHAR)")
+CTES["sig_own_off"] = _OWN("off").replace("font_size > 1.0 AND", "font_size > tiny_limit AND")
+CTES["full_signals"] = " UNION ALL ".join(f"SELECT * FROM {k}" for k in (
+    "sig_zero", "sig_homoglyph", "sig_own_hidden", "sig_own_tiny", "sig_own_off", "sig_font", "sig_prompt", "ranges_ends", "ranges_future", "ranges_overlaps",
+    "sig_order", "sig_doc_tool", "sig_doc_rapid", "sig_doc_reversed", "sig_doc_stripped", "sig_doc_image"))
 # --- texts
 CTES["full_text"] = "SELECT doc_id, string_agg(text, ' ' ORDER BY span_no) AS full_text FROM spans GROUP BY doc_id"
 CTES["clean"] = f"SELECT s.* FROM spans s WHERE NOT EXISTS (SELECT 1 FROM signals h WHERE h.severity = 'high' AND h.doc_id = s.doc_id AND {MEET('s', 'h')})"
@@ -379,7 +408,7 @@ CTES |= authorship("ai_split", "split_text", "doc_id, paragraph_index", "body")
 CTES["paragraphs"] = f"SELECT doc_id, paragraph_index, page, {_PARA} FROM ai_block WHERE n_words >= 15"
 # --- matching
 CTES["job_rows"] = f"SELECT item_id AS job_id, text || {tails('item_id', JOB_TAILS)} AS job_text FROM benchmark"
-CTES["cand"] = f"SELECT doc_id, doc_id % 200 AS job_id, text || {tails('doc_id', TEXT_TAILS)} AS body FROM documents"
+CTES["cand"] = f"SELECT doc_id, doc_id % greatest((SELECT count(*) FROM benchmark), 1) AS job_id, text || {tails('doc_id', TEXT_TAILS)} AS body FROM documents"
 CTES["cand_tf"] = f"SELECT doc_id, job_id, term, count(*) AS tf FROM (SELECT doc_id, job_id, unnest({TOKENS('body')}) AS term FROM cand) GROUP BY ALL"
 CTES["job_tf"] = f"SELECT job_id, term, count(*) AS tf FROM (SELECT job_id, unnest({TOKENS('job_text')}) AS term FROM job_rows) GROUP BY ALL"
 CTES["cand_n"] = "SELECT doc_id, CAST(sum(tf * tf) AS BIGINT) AS n2, CAST(sum(tf) AS BIGINT) AS n FROM cand_tf GROUP BY ALL"
@@ -413,7 +442,7 @@ _COUNTS = "count(signal_type) AS total_signals, " + ", ".join(f"count(CASE WHEN
 _RISK = "CAST(least(100, " + " + ".join(V.RISK_WEIGHTS) + ") AS BIGINT)"
 _CAT = ", ".join(V.RISK_WEIGHTS)
 CTES["risk"] = f"SELECT d.doc_id, {_CAPS} FROM documents d LEFT JOIN signals s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
-CTES["all_risk"] = f"SELECT d.doc_id, {_COUNTS}, {_CAPS} FROM documents d LEFT JOIN all_signals s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+CTES["all_risk"] = f"SELECT d.doc_id, {_COUNTS}, {_CAPS} FROM documents d LEFT JOIN full_signals s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
 CTES["risk_rows"] = f"SELECT *, {_RISK} AS forensic_risk_score FROM all_risk"
 _T = lambda m: f"((o_orderkey * {m}) % 1001) / 10.0e0"
 CTES["scans0"] = (
@@ -526,7 +555,7 @@ _VERDICT = lambda i: f"CASE trust_label WHEN 'High Risk' THEN {lit(V.VERDICTS['H
 
 # whole scan
 CTES["scan_admit"] = "SELECT doc_id FROM admission WHERE word_count < 15 OR score >= 2"
-CTES["scan_clean"] = f"SELECT s.* FROM spans s WHERE NOT EXISTS (SELECT 1 FROM all_signals h WHERE h.severity = 'high' AND h.x0 IS NOT NULL AND h.doc_id = s.doc_id AND {MEET('s', 'h')})"
+CTES["scan_clean"] = f"SELECT s.* FROM spans s WHERE NOT EXISTS (SELECT 1 FROM full_signals h WHERE h.severity = 'high' AND h.x0 IS NOT NULL AND h.doc_id = s.doc_id AND {MEET('s', 'h')})"
 CTES["scan_text0"] = paragraphs_of("scan_clean")
 CTES["scan_text"] = "SELECT doc_id, coalesce(clean_text, '') AS clean_text FROM scan_admit LEFT JOIN scan_text0 USING (doc_id)"
 CTES |= authorship("ai_scan", "scan_text", "doc_id", "clean_text")
@@ -611,8 +640,7 @@ FINAL: dict[str, str] = {
     "detect_overlaps": _signals("intervals_overlaps"),
     "signal_points": f"SELECT o_orderkey, category, severity, {_POINTS} AS points FROM (SELECT o_orderkey, ([{', '.join(lit(c) for c in [*V.RISK_WEIGHTS, 'other'])}])[o_orderkey % 8 + 1] AS category, (['high', 'medium', 'low'])[o_orderkey % 3 + 1] AS severity FROM orders)",
     "snippet": f"SELECT doc_id, {snippet('text')} AS snippet FROM documents",
-    "run_all_detectors": "SELECT doc_id, page, span_no, signal_type, severity, risk_points, evidence_strength, confidence, description FROM (" + " UNION ALL ".join(
-        f"SELECT * FROM {t}" for t in ("all_signals", "sig_order", "sig_tool", "sig_rapid", "sig_reversed", "sig_stripped")) + ")",
+    "run_all_detectors": "SELECT doc_id, page, span_no, signal_type, severity, risk_points, evidence_strength, confidence, description FROM full_signals",
     "parse_metadata_date": (
         r"SELECT doc_id, raw, strftime(try_strptime(rpad(regexp_extract(raw, '^D:(\d+)', 1), 14, '0'), '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') AS parsed FROM raw_dates"),
     "parse_resume_date": f"SELECT o_orderkey, raw, strftime({resume_date('raw')}, '%Y-%m-%d') AS parsed FROM raw_resume",

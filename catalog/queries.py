@@ -322,13 +322,17 @@ def _span_signals(spark, sf):
 
 
 def _evidence(spark, sf):
-    return R.Evidence(W.spans(spark, sf), W.page_dims(spark, sf), W.ref_date())
+    """All that the rules read of every document, under the limits of its owner's organisation."""
+    limits = Q.document_thresholds(W.document_owners(spark, sf), Q.effective_thresholds(W.owners(spark, sf), W.settings(spark, sf)))
+    return R.Evidence(
+        Q.with_thresholds(W.spans(spark, sf), limits), W.document_pages(spark, sf), W.ref_date(),
+        words=W.words(spark, sf), images=W.document_images(spark, sf), metadata=W.document_metadata(spark, sf))
 
 
 @query
 def run_all_detectors(spark, sf):
-    everything = R.Evidence(W.spans(spark, sf), W.page_dims(spark, sf), W.ref_date(), words=W.words(spark, sf), metadata=W.metadata(spark, sf))
-    return R.run_all_detectors(everything).select(
+    """Every rule on everything known of every document, in reading order."""
+    return R.ordered_signals(_evidence(spark, sf)).select(
         "doc_id", "page", "span_no", "signal_type", "severity", "risk_points", "evidence_strength", "confidence", "description")
 
 
@@ -768,7 +772,7 @@ RISK_OUT = ["doc_id", "total_signals", "high_count", "medium_count", "low_count"
 
 @query
 def scan_risk(spark, sf):
-    """Flagship: span and timeline signals of every document, capped risk, trust and label."""
+    """Flagship: signals of every rule for every document, capped risk, trust and label."""
     return risk_by_document(_docs(spark, sf), _evidence(spark, sf)).select(RISK_OUT)
 
 

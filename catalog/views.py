@@ -88,6 +88,39 @@ def metadata(spark, sf):
     return pdf_dates(spark, sf).select("doc_id", F.when(F.col("doc_id") % 50 != 3, kept).alias("meta"))
 
 
+def document_metadata(spark, sf):
+    """Metadata of every document, with the tricks of ``metadata``."""
+    d = F.col("doc_id")
+    at = lambda minutes: F.date_format(F.lit("2020-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=minutes.cast("int")), "'D:'yyyyMMddHHmmss")
+    rows = documents(spark, sf).select(
+        "doc_id", F.when(d % 10 != 1, at(d * 37 % 100000)).alias("creation_date"), at(d * 37 % 100000 + (d * 7) % 400 - 60).alias("mod_date"),
+        F.when(d % 10 == 0, "Canva").when(d % 10 == 2, "Google Docs").when(d % 10 != 1, "Microsoft Word").alias("creator"))
+    entries = F.create_map(F.lit("creator"), F.col("creator"), F.lit("creationDate"), F.col("creation_date"), F.lit("modDate"), F.col("mod_date"))
+    return rows.select("doc_id", F.when(d % 50 != 3, F.map_filter(entries, lambda k, v: v.isNotNull())).alias("meta"))
+
+
+SCANNED_PAGE = 1000  # an image page without text, behind the pages of spans
+
+
+def document_pages(spark, sf):
+    """Pages of every document; some documents end with a page that is one picture."""
+    extra = documents(spark, sf).filter(F.col("doc_id") % 9 == 4).select(
+        "doc_id", F.lit(SCANNED_PAGE).alias("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return page_dims(spark, sf).unionByName(extra)
+
+
+def document_images(spark, sf):
+    d = F.col("doc_id") % 9
+    return documents(spark, sf).filter(d.isin(4, 5)).select(
+        "doc_id", F.when(d == 4, SCANNED_PAGE).otherwise(1).alias("page"),
+        F.when(d == 4, 600.0).otherwise(500.0).alias("width"), F.when(d == 4, 700.0).otherwise(600.0).alias("height"))
+
+
+def document_owners(spark, sf):
+    """Who owns a document; some owners are unknown."""
+    return documents(spark, sf).select("doc_id", (F.col("doc_id") % 997 + 1).alias("owner_id"))
+
+
 def intervals(spark, sf):
     """Date ranges per customer, from orders."""
     k, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
@@ -205,9 +238,10 @@ def jobs(spark, sf):
 
 
 def candidate_texts(spark, sf):
-    """Document texts, some with skills added, each submitted for one job."""
+    """Document texts, some with skills added, each submitted for one of the jobs that exist."""
+    items = table(spark, sf, "benchmark").agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     return documents(spark, sf).select(
-        "doc_id", (F.col("doc_id") % 200).alias("job_id"), F.concat("text", _tail(F.col("doc_id"), TEXT_TAILS)).alias("clean_text"))
+        "doc_id", (F.col("doc_id") % items).alias("job_id"), F.concat("text", _tail(F.col("doc_id"), TEXT_TAILS)).alias("clean_text"))
 
 
 def batched_texts(spark, sf):

@@ -9,6 +9,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 
 from inkwitness.operators import metadata, pages, span_rules, timeline
+from inkwitness.operators.signals import order_signals
 
 
 @dataclass
@@ -52,6 +53,11 @@ RULES: list[Callable[[Evidence], DataFrame | None]] = [
 
 
 def run_all_detectors(evidence: Evidence) -> DataFrame:
-    """All signals in the shared layout, unordered; sort with ``order_signals`` at the edge."""
+    """All signals in the shared layout, unordered, as aggregates want them."""
     found = [rule(evidence) for rule in RULES]
     return reduce(lambda a, b: a.unionByName(b), [f for f in found if f is not None])
+
+
+def ordered_signals(evidence: Evidence) -> DataFrame:
+    """All signals in one total order: document, page, severity, type, box, description; sorted over ranges of documents."""
+    return order_signals(run_all_detectors(evidence))

@@ -253,6 +253,27 @@ def effective_thresholds(owners: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
+def document_thresholds(documents: DataFrame, owners: DataFrame) -> DataFrame:
+    """``documents(doc_id, owner_id)`` with the limits of ``effective_thresholds``; an unknown owner has the defaults."""
+    limits = owners.select("owner_id", "near_white_threshold", "hidden_size_threshold")
+    return documents.select("doc_id", "owner_id").join(limits, "owner_id", "left").select(
+        "doc_id",
+        F.coalesce("near_white_threshold", F.lit(V.NEAR_WHITE_THRESHOLD)).alias("near_white_threshold"),
+        F.coalesce("hidden_size_threshold", F.lit(V.HIDDEN_FONT_SIZE_PT)).alias("hidden_size_threshold"),
+    )
+
+
+def with_thresholds(spans: DataFrame, limits: DataFrame) -> DataFrame:
+    """Spans with the limits of their document on every row, where the span rules look for them.
+
+    Documents that keep to the defaults are left out of the join, so that usually its small side holds few documents.
+    """
+    near, tiny = F.lit(V.NEAR_WHITE_THRESHOLD), F.lit(V.HIDDEN_FONT_SIZE_PT)
+    own = limits.filter((F.col("near_white_threshold") != near) | (F.col("hidden_size_threshold") != tiny))
+    return spans.join(own, "doc_id", "left").withColumns({
+        "near_white_threshold": F.coalesce("near_white_threshold", near), "hidden_size_threshold": F.coalesce("hidden_size_threshold", tiny)})
+
+
 def share_allowed(scans: DataFrame, documents: DataFrame, owners: DataFrame, settings: DataFrame) -> DataFrame:
     """Scans their owner may share: the organisation has switched sharing on."""
     open_orgs = settings.filter(F.coalesce("candidate_transparency_enabled", F.lit(False))).select("organization")
