@@ -8,9 +8,9 @@ Sums over subtrees are made in shards. A node with more than ``SHARD`` members i
 a path hangs one shard, which therefore holds whole subtrees. In its task a shard's digests get the slots of a minimal
 perfect hash. A slot keeps its digest, and a look-up counts only if the digest is the one asked for, so a parent outside
 the shard is told from one inside. Counts are scattered into flat arrays by slot, and added to the parents' slots from
-the deepest nodes up. The sums of the shards' roots go to the top nodes, which are treated alike; a top node has so many
-members that there are at most ``TOP`` times the depth of the tree's shared part, and their table stays small. Nodes with
-one member need no sum: they are one branch without anything saved.
+the deepest nodes up. The sums of the shards' roots go to the top nodes, which are treated alike. Every
+visit counts at one node, so fewer than ``TOP`` nodes are top nodes, whatever the table. Nodes with one member need no
+sum: they are one branch without anything saved.
 
 The digest of the members that end at a node is one hash over their ids in order; ids of a node run through it in a
 stream, so that no list is held, however many they are.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import running_total
 
-#: Members above which a node is a top node, at least; at most one in ``TOP`` visits is needed to make one.
+#: A top node has more than ``SHARD`` members and more than the ``TOP``-th part of all visits.
 SHARD, TOP = 4096, 100_000
 #: Shared nodes a task accumulates at a time, about.
 NODES = 20_000

@@ -195,9 +195,11 @@ def estimate(patterns: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], floa
 
 def _weights(spans: DataFrame, posterior: dict[tuple[int, ...], float]) -> tuple[float, list[float]]:
     """Log-odds of the classes and of each feature bucket, from sums of posteriors in whole millionths."""
-    soft = F.create_map(*(F.lit(x) for p, q in posterior.items() for x in (",".join(map(str, p)), round(q * 1_000_000)))) if posterior else F.lit(None)
-    counted = spans.withColumn("good", F.get(F.array(soft[F.col("pattern")]), F.lit(0)).cast("long")).select("good", F.explode("features").alias("bucket"))
-    rows = counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect() if posterior else []
+    if not posterior:
+        return 0.0, [0.0] * BUCKETS
+    soft = F.create_map(*(F.lit(x) for p, q in posterior.items() for x in (",".join(map(str, p)), round(q * 1_000_000))))
+    counted = spans.withColumn("good", soft[F.col("pattern")].cast("long")).select("good", F.explode("features").alias("bucket"))
+    rows = counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()
     good, bad = [1_000_000] * BUCKETS, [1_000_000] * BUCKETS
     for row in rows:
         good[row.bucket] += row.good

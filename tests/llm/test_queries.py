@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.execute(SQL[name]).df(), QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
