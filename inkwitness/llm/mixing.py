@@ -19,6 +19,8 @@ from .common import running_total
 WEIGHTS = (5, 2, 1)
 #: A pattern's documents are counted in so many bins of their seeded order.
 ORDER_BINS = 4096
+#: Rows of a plan that may be sent to every task.
+SENT = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> dict[str | None, float]:
@@ -148,7 +150,8 @@ def mix(docs: DataFrame, members: Column, size: Column, asked: dict[str | None,
          for (held, total), part in zip(found, flow, strict=True)],
         "members array<string>, supply long, flow long, source_size long, target double")
 
-    joined = known.join(plan, "members").withColumn("_mark", F.md5(F.concat_ws(":", F.lit(seed), F.col("_row._id").cast("string"))))
+    # a small plan is sent to the rows, whose hot sources then stay where they are; a large one meets them by a join
+    joined = known.join(F.broadcast(plan) if len(found) <= SENT else plan, "members").withColumn("_mark", F.md5(F.concat_ws(":", F.lit(seed), F.col("_row._id").cast("string"))))
     joined = joined.withColumn("_id", F.col("_row._id"))
     width = len(f"{ORDER_BINS - 1:x}")
     placed = running_total(joined, ["members"], ["_mark", "_id", "size"], F.col("size"),

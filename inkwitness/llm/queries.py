@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import conversation_repair, conversation_sql, conversation_trie, edit_counts, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, personal_data, quality, toxicity, url_rules
+from ..session import materialise
 from .common import table, word_count
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), F.array("source"), F.col("words"))
+    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
+    mixed = mixing.mix(sizes, F.array("source"), F.col("words"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
