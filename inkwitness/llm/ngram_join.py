@@ -25,11 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .common import components, over_batches, thinned
 
 #: log2 of the number of counters: 8 MB in the driver, 1 MB of ranks in each task, whatever the corpus.
 COUNTER_BITS = 20
+#: Longs of the bitmap (2 MB) that keeps n-grams of one class out of the shuffle; where it fills up, it keeps out fewer.
+FILTER_WORDS = 1 << 18
+#: Classes with one n-gram that are compared inside one join key.
+BLOCK = 1024
 #: Parts of a set whose sizes the suffix filter compares.
 PARTS = 16
 
@@ -119,14 +123,22 @@ def signatures(docs: DataFrame, ranks: np.ndarray, n: int, percent: int) -> Data
                         "doc_id long, n_shingles long, set_name string, prefix array<long>, parts array<int>")
 
 
-def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filter on a meeting of (n, pos, parts) with (m, at, others)."""
-    low, high = F.least("n", "m"), F.greatest("n", "m")
-    # 100 * overlap >= percent * (n + m - overlap)
-    need = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    apart = F.aggregate(F.zip_with("parts", "others", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return (100 * low >= percent * high) & (most >= need) & (apart <= F.col("n") + F.col("m") - 2 * need)
+def _need(percent: int) -> str:
+    """The least overlap of linked sets of sizes n and m: percent * (n + m - overlap) <= 100 * overlap."""
+    return f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+
+
+def _in_reach(percent: int) -> Column:
+    """Length and positional filter on a meeting of (n, pos) with (m, at)."""
+    return F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - pos, m - at) >= {_need(percent)}")
+
+
+def _alike(pairs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the suffix filter, which compares the histograms of the two sets."""
+    side = lambda key, size, parts: stands.select(F.col("doc_id").alias(key), F.col("n_shingles").cast("int").alias(size), F.col("parts").alias(parts))
+    both = pairs.join(side("a", "n", "parts"), "a").join(side("b", "m", "others"), "b")
+    apart = F.aggregate(F.zip_with("parts", "others", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    return both.where(apart <= F.expr(f"n + m - 2 * {_need(percent)}")).select(pairs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,43 +168,51 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     signed = materialise(signatures(docs, counters(docs, n), n, percent), "signatures")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(filled.groupBy("set_name").agg(F.min("doc_id").alias("first")), "classes")
-    same = (filled.select("doc_id", "set_name").join(classes, "set_name").where("doc_id <> first")
-            .select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
+    same = filled.select("doc_id", "set_name").join(classes, "set_name").where("doc_id <> first")
+    same = materialise(same.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "same")
 
-    # one document of each class stands for it; their prefixes move once
+    # one document of each class stands for it; prefix n-grams that another class has as well move once
     stands = materialise(
         filled.join(classes.select("set_name", F.col("first").alias("doc_id")), ["set_name", "doc_id"], "left_semi")
         .select("doc_id", "n_shingles", "prefix", "parts"), "stands")
+    discard(classes)
     rows = stands.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("pos", "doc_id")).alias("lead")).where("held > 1")
-    meeting = rows.join(shared.select("gram", F.col("lead.doc_id").alias("leader")), "gram")
-    meeting = materialise(meeting.join(stands.select("doc_id", "parts"), "doc_id"), "meeting")
+    shared = materialise(rows.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"), "shared")
+    meeting = materialise(thinned(rows, "gram", shared, FILTER_WORDS).join(shared, "gram"), "meeting")
+    discard(shared)
 
     # proposals: each class to the leaders of the n-grams it shares
-    leaders = meeting.where("doc_id = leader").select("gram", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("parts").alias("others"))
-    proposals = materialise(
-        meeting.where("doc_id <> leader").join(leaders, "gram").where(_may_link(percent))
-        .select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "proposals")
+    leaders = meeting.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "n")).alias("lead")).select(
+        "gram", F.col("lead.doc_id").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"))
+    proposals = (meeting.join(leaders, "gram").where("doc_id <> leader").where(_in_reach(percent))
+                 .select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
+    proposals = materialise(_alike(proposals, stands, percent), "proposals")
     sets = _sets(docs, proposals.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
     links = materialise(_verified(proposals, sets, percent), "links")
+    discard(sets)
     led = components(links)
 
-    # what may still join two components
+    # what may still join two components; an n-gram that many classes have is cut into blocks
     left = materialise(
-        meeting.drop("leader").join(led.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        meeting.join(led.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id")), "left")
-    mixed = (left.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low <> high").select("gram"))
-    left = materialise(left.join(mixed, "gram"), "mixed")
-    other = left.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"),
-                        F.col("parts").alias("others"), F.col("component").alias("its"))
-    rest = (left.join(other, "gram").where("doc_id < other and component <> its").where(_may_link(percent))
+    discard(meeting, led)
+    mixed = left.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
+    crowds = left.join(mixed, "gram").withColumn("blocks", F.expr(f"cast((held + {BLOCK - 1}) div {BLOCK} as int)")).withColumn(
+        "own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = crowds.select("gram", "doc_id", "n", "pos", "component", F.col("own").alias("x"), every.alias("y"))
+    other = crowds.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("its"),
+                          F.col("own").alias("y"), every.alias("x"))
+    rest = (one.join(other, ["gram", "x", "y"]).where("doc_id < other and component <> its").where(_in_reach(percent))
             .select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
             .join(proposals, ["a", "b"], "left_anti"))
-    rest = materialise(rest, "rest")
+    rest = materialise(_alike(rest, stands, percent), "rest")
+    discard(left, stands, proposals)
     if not rest.isEmpty():
         more = _sets(docs, rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
-        links = links.unionByName(_verified(rest, more, percent))
+        links = links.unionByName(materialise(_verified(rest, more, percent), "links"))
+        discard(more)
 
     final = components(links.unionByName(same))
     return signed.select("doc_id", "n_shingles").join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select(
