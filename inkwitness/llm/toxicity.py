@@ -36,7 +36,7 @@ TOXIC = 0.7
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKES = dict(zip("авеёкмнорстухіјѕԁԛԝһαβεικνορτυχγ", "abeekmhopctyxijsdqwhabeikvoptuxy", strict=True))
 _SIGNS = dict(zip("0134579@$!|", "oieastgasii", strict=True))
-_INVISIBLE = "­​‌‍⁠﻿"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
 class _Fold(dict):
@@ -123,7 +123,16 @@ def hits(automaton, text: str) -> dict[int, tuple[int, float]]:
             start = end - length + (0 if text[end] == " " else 1)
             if length > best.get(start, (0, 0.0))[0]:
                 best[start] = (length, weight)
-    return {s: v for s, v in best.items() if not any(a <= s < b for a, b in spared)} if spared else best
+    if not spared:
+        return best
+    # one sweep: the first letter of every spared phrase, and the furthest end of the phrases begun so far
+    spared.sort()
+    begins = np.array([a for a, _ in spared])
+    ends = np.maximum.accumulate(np.array([b for _, b in spared]))
+    starts = np.fromiter(best, np.int64, len(best))
+    before = np.searchsorted(begins, starts, side="right") - 1
+    inside = (before >= 0) & (starts < ends[before])
+    return {s: v for (s, v), skip in zip(best.items(), inside.tolist(), strict=True) if not skip}
 
 
 def _measures(automaton, text: str, words: int) -> tuple[float, float]:

@@ -1,8 +1,9 @@
 import random
+import time
 
 from samples import prose
 
-from inkwitness.llm.toxicity import Lexicon, folded, learn, toxicity
+from inkwitness.llm.toxicity import Lexicon, _matcher, folded, hits, learn, toxicity
 
 BAD = ["idiot", "moron", "scumbag"]
 
@@ -56,3 +57,18 @@ def test_odd_tables(spark, docs):
 def test_folding():
     assert folded("Thе 1d10t! $tupid### 2024 x")[0] == " the idiot stupid x "
     assert folded(None) == ("  ", 0)
+
+
+def test_exceptions_by_one_sweep_equal_a_plain_comparison():
+    draw = random.Random(3)
+    lexicon = Lexicon({" idiot ": 3.0, " mor": 2.0}, frozenset({"village idiot", "idiot proof", "moron idiot moron"}), (-2.0, 2.0, 1.0))
+    automaton = _matcher(lexicon)
+    plain = _matcher(Lexicon(lexicon.weights, frozenset(), lexicon.curve))
+    for size in (0, 1, 5, 400):
+        text = f" {' '.join(draw.choice(['village', 'idiot', 'moron', 'proof', 'x']) for _ in range(size))} "
+        spared = [(m + 1, m + 1 + len(p)) for p in lexicon.exceptions for m in range(len(text)) if text.startswith(f" {p} ", m)]
+        want = {s: v for s, v in hits(plain, text).items() if not any(a <= s < b for a, b in spared)}
+        assert hits(automaton, text) == want
+    crowded = "an idiot proof thing " * 50_000
+    start = time.perf_counter()
+    assert lexicon.score(crowded) == lexicon.score("thing " * 50_000) and time.perf_counter() - start < 20
