@@ -52,7 +52,7 @@ def op6_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op7_url_association_rules(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_rules.judged(pages, url_rules.mine(pages, labels))
+    return url_rules.judged(pages, url_rules.mine(pages, url_rules.taught(pages, labels)))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

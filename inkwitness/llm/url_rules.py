@@ -67,14 +67,24 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(marked("h:", F.split(host_of(url), r"\.")), marked("p:", words), marked("q:", names)))
 
 
+def taught(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What there is to learn from: (page_id, bad). Where an explicit rule fits a page its verdict counts, elsewhere its ``labels``.
+
+    So tokens of blocked pages reach pages that no explicit rule fits. Other columns are ignored; labels of absent pages stay.
+    """
+    fixed = pages.select("page_id", rule_for(host_of(F.col("url")), path_of(F.col("url")), rules, "verdict").alias("_verdict")).where("_verdict is not null")
+    told = labels.select("page_id", "bad").join(fixed.select("page_id"), "page_id", "left_anti")
+    return fixed.select("page_id", (F.col("_verdict") == "block").alias(_BAD)).unionByName(told)
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, hold: int = HOLD, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """Rules (tokens, key, confidence) that say bad; ``key`` is the rarest token.
 
-    ``labels`` (page_id, bad) are joined with ``pages`` (page_id, url); rows with nulls are left out. A rule must hold on
+    ``labels`` (page_id, bad) are joined with ``pages`` (page_id, url); other columns are ignored, rows with nulls left out. A rule must hold on
     ``support`` of the labelled pages and on ``hold`` of them; fewer labelled pages than that give no rule.
     """
     spark = pages.sparkSession
-    told = pages.join(labels, "page_id").where("url is not null and bad is not null")
+    told = pages.select("page_id", "url").join(labels.select("page_id", "bad"), "page_id").where("url is not null and bad is not null")
     baskets = told.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     total = baskets.count()
     if total < hold:

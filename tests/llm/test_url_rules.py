@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from inkwitness.llm.url_rules import RULES, judged, mine, tokens_of
+from inkwitness.llm.url_rules import RULES, judged, mine, taught, tokens_of
 
 
 def parts(url):
@@ -65,3 +65,21 @@ def test_mined_rules_equal_brute_force(spark, docs):
     for i, _ in rows:
         assert verdicts[i].verdict == ("block" if any(k <= held[i] for k in want) else "allow")
     assert verdicts[2000].verdict == "allow"
+
+
+def test_explicit_verdicts_teach_rules_for_other_pages(spark, docs):
+    rows = [(i, f"http://h{i}.example.{('net', 'com', 'org')[i % 3]}/{('en', 'de', 'fr')[i // 3 % 3]}/{i}", "x") for i in range(360)]
+    pages = docs(rows, "page_id long, url string, bad string")
+    labels = spark.createDataFrame([(i, False, "y") for i in range(0, 360, 5)] + [(None, True, "y")], "page_id long, bad boolean, url string")
+    told = taught(pages, labels)
+    want = {}
+    for i, url, _ in rows:
+        rule = explicit(*parts(url))
+        if rule or i % 5 == 0:
+            want[i] = rule.verdict == "block" if rule else False
+    assert {r.page_id: r.bad for r in told.collect() if r.page_id is not None} == want
+    mined = mine(pages, told)
+    got = judged(pages, mined).collect()
+    by_method = [r for r in got if r.rule is None and r.verdict == "block"]
+    assert mined.count() > 0 and by_method and all(r.host.endswith(".org") and r.path.startswith("/de/") for r in by_method)
+    assert all(r.verdict == explicit(r.host, r.path).verdict for r in got if r.rule)
