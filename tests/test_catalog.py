@@ -48,3 +48,10 @@ def test_packing_round_trip(spark):
     spans = W.spans(spark, SF)
     back = unpack_span_pages(pack_span_pages(spans)).select(spans.columns)
     assert back.exceptAll(spans).count() == 0 and spans.exceptAll(back).count() == 0
+
+
+def test_colours_of_large_order_numbers(spark, tmp_path):
+    """The product with an order number has more than 31 bits from two million on."""
+    spark.sql("SELECT id AS o_orderkey FROM VALUES (5L), (1922600L), (9000000L), (3000000000L) AS t(id)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.r << 16 | r.g << 8 | r.b for r in QUERIES["decode_color"](spark, str(tmp_path)).collect()}
+    assert got == {k: k * 1117 % 16777216 for k in (5, 1922600, 9000000, 3000000000)}
