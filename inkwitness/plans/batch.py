@@ -34,7 +34,7 @@ def scan_batches(docs: DataFrame, evidence: registry.Evidence, failed: DataFrame
     texts = scan.clean_texts.join(results.select("doc_id", "batch_id"), "doc_id")
     forms, members = N.all_pairs_cosine(texts, "clean_text", scope="batch_id")
     forms = materialise(forms, "similar-forms")
-    pairs = N.shared_phrases(N.expand_pairs(forms, members).withColumnRenamed("scope", "batch_id"), texts, "clean_text")
+    pairs = N.shared_phrases(N.expand_pairs(forms, members).withColumnRenamed("scope", "batch_id"), texts, "clean_text", "batch_id")
     rescored = rescore(results, N.touched_documents(forms, members))
     done = results.select("batch_id", F.lit(None).cast("string").alias("error"))
     lost = failed.select("batch_id", "error").unionByName(scan.rejected.select("batch_id", "error"))
