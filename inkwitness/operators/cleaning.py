@@ -114,6 +114,12 @@ def resume_likelihood(texts: DataFrame, text: str = "full_text") -> DataFrame:
     )
 
 
+def admission(texts: DataFrame, text: str = "full_text") -> DataFrame:
+    """``(doc_id, error)``: every text judged once, without an error if it is admitted."""
+    judged = resume_likelihood(texts, text)
+    return judged.select("doc_id", F.when(~F.col("admitted"), V.NOT_A_DOCUMENT).alias("error"))
+
+
 def reject_non_documents(texts: DataFrame, text: str = "full_text") -> tuple[DataFrame, DataFrame]:
     """(admitted rows, rejected rows with their message)."""
     judged = resume_likelihood(texts, text)
