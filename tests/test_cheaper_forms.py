@@ -15,3 +15,12 @@ def test_each_text_is_judged_once(spark):
     want = {r.doc_id: r.admitted for r in C.resume_likelihood(texts).collect()}
     assert {r.doc_id: r.error for r in got.collect()} == {d: V.NOT_A_DOCUMENT if ok is False else None for d, ok in want.items()}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 2
+
+
+def test_cosine_of_given_pairs(spark):
+    texts = spark.createDataFrame([(1, "zebra zebra lion"), (2, "lion zebra"), (3, "the of"), (4, "tiger")], "doc_id long, text string")
+    terms = M.term_counts(texts, "doc_id", "text")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 4), (4, 9)], "id_a long, id_b long")
+    got = sorted((r.id_a, r.id_b, round(r.cosine, 6)) for r in M.tf_cosine(
+        terms.withColumnRenamed("doc_id", "id_a"), terms.withColumnRenamed("doc_id", "id_b"), pairs).collect())
+    assert got == [(1, 2, 0.948683), (1, 2, 0.948683), (1, 4, 0.0), (2, 3, 0.0), (4, 9, 0.0)]
