@@ -19,6 +19,9 @@ def page_char_counts(page_dims: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+_NO_TEXT = "\0"  # stands for a word without text while the words of a page are gathered
+
+
 def _merge_counts(ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pairs out of order on each page; pages of ``sizes`` lie one after another in ``ranks``.
 
@@ -42,14 +45,15 @@ def _merge_counts(ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def _inversions(bands: pd.Series, lefts: pd.Series) -> pd.Series:
-    """Pairs of words, held in stored order, that reading order (band, then left edge) puts the other way round."""
+def _inversions(numbers: pd.Series, bands: pd.Series, lefts: pd.Series) -> pd.Series:
+    """Pairs of words, stored in the order of their numbers, that reading order (band, then left edge) puts the other way round."""
     sizes = bands.map(len).to_numpy()
     if not sizes.sum():
         return pd.Series(np.zeros(len(sizes), np.int64))
     page = np.repeat(np.arange(len(sizes)), sizes)
+    stored = np.lexsort((np.concatenate(numbers.to_list()), page))
     ranks = np.empty(len(page), np.int64)
-    ranks[np.lexsort((np.concatenate(lefts.to_list()), np.concatenate(bands.to_list()), page))] = np.arange(len(page))
+    ranks[np.lexsort((np.concatenate(lefts.to_list())[stored], np.concatenate(bands.to_list())[stored], page))] = np.arange(len(page))
     return pd.Series(_merge_counts(ranks, sizes))
 
 
@@ -57,19 +61,21 @@ def page_word_order(words: DataFrame) -> DataFrame:
     """How far the stored word order of a page is from its visual reading order.
 
     ``words(doc_id, page, word_no, x0, y0, text)``.  Pages of fewer than 8 words score 0.  One shuffle
-    gathers the words of each page; ranks and inversions are worked out for a batch of pages at once.
+    gathers the words of each page, as plain lists that compress well; ranks and inversions are worked out for a batch of pages at once.
     """
     key = ["doc_id", "page"]
     band = F.bround(F.col("y0") / V.VISUAL_BAND_PT, 0)
+    # lists of one aggregate stay in step as long as no value is null
     pages = words.groupBy(key).agg(
-        F.count("*").alias("word_count"),
-        F.array_sort(F.collect_list(F.struct("word_no", band.alias("band"), "x0", "text"))).alias("w"))
+        F.count("*").alias("word_count"), F.collect_list("word_no").alias("no"),
+        F.collect_list(F.coalesce(band, F.lit(float("nan")))).alias("band"), F.collect_list(F.coalesce("x0", F.lit(float("nan")))).alias("x0"),
+        F.collect_list(F.coalesce("text", F.lit(_NO_TEXT))).alias("text"))
     n = F.col("word_count")
     judged = n >= V.MIN_WORDS_FOR_ORDER
-    none = F.array().cast("array<double>")
-    kept = lambda c: F.when(judged, F.col(f"w.{c}")).otherwise(none)
-    counted = pages.select(*key, "word_count", _inversions(kept("band"), kept("x0")).alias("inversions"),
-                           F.when(judged, F.slice(F.col("w.text"), 1, V.ORDER_SAMPLE_WORDS)).alias("sample"))
+    kept = lambda c, kind: F.when(judged, F.col(c)).otherwise(F.array().cast(f"array<{kind}>"))
+    first = F.slice(F.array_sort(F.arrays_zip("no", "text")), 1, V.ORDER_SAMPLE_WORDS)
+    counted = pages.select(*key, "word_count", _inversions(kept("no", "long"), kept("band", "double"), kept("x0", "double")).alias("inversions"),
+                           F.when(judged, F.transform(first, lambda w: F.nullif(w["text"], F.lit(_NO_TEXT)))).alias("sample"))
     pairs = F.greatest(n * (n - 1) / 2, F.lit(1.0))
     return counted.select(
         *key, "word_count",

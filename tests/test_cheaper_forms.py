@@ -24,3 +24,11 @@ def test_cosine_of_given_pairs(spark):
     got = sorted((r.id_a, r.id_b, round(r.cosine, 6)) for r in M.tf_cosine(
         terms.withColumnRenamed("doc_id", "id_a"), terms.withColumnRenamed("doc_id", "id_b"), pairs).collect())
     assert got == [(1, 2, 0.948683), (1, 2, 0.948683), (1, 4, 0.0), (2, 3, 0.0), (4, 9, 0.0)]
+
+
+def test_word_lists_of_a_page_stay_in_step(spark):
+    """Words arrive in any order and may lack text; a page's lists are gathered apart from each other."""
+    rows = [(1, 1, n, 14.0 * (9 - n), 0.0, None if n == 2 else f"w{n}") for n in range(10)]
+    words = spark.createDataFrame(rows[::-1], "doc_id long, page int, word_no int, y0 double, x0 double, text string").repartition(5)
+    (r,) = P.page_word_order(words).collect()
+    assert (r.word_count, r.disorder_ratio) == (10, 1.0) and r.sample_words[:4] == ["w0", "w1", None, "w3"]
