@@ -13,10 +13,20 @@ from inkwitness import fixed_values as V
 from inkwitness.functions import text as X
 from inkwitness.functions.text import fill
 
-# Longest phrase first; the look-ahead skips positions no phrase can start at.
-_PHRASES = sorted(V.MARKER_PHRASES, key=len, reverse=True)
-_STARTS = "".join(sorted({p[0] for p in V.MARKER_PHRASES}))
-PHRASE_PATTERN = f"(?i)(?=[{_STARTS}])(?:" + "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\-", "-") for p in _PHRASES) + ")"
+
+
+def _tree(phrases: set[str]) -> str:
+    """Pattern of the longest of ``phrases`` at a position; what they have in common at the start is written once."""
+    begun = {p[0] for p in phrases if p}
+    branches = [re.escape(c).replace(r"\ ", " ").replace(r"\-", "-") + _tree({p[1:] for p in phrases if p[:1] == c}) for c in sorted(begun)]
+    if len(branches) < 2 and "" not in phrases:
+        return "".join(branches)
+    return f"(?:{'|'.join(branches)})" + "?" * ("" in phrases) if branches else ""
+
+
+# The look-ahead skips positions no phrase can start at.
+_STARTS = "".join("[" + "".join(sorted({re.escape(p[i]) for p in V.MARKER_PHRASES})) + "]" for i in range(min(4, *map(len, V.MARKER_PHRASES))))
+PHRASE_PATTERN = f"(?i)(?={_STARTS}){_tree(set(V.MARKER_PHRASES))}"
 
 
 def _clamp(c: Column) -> Column:

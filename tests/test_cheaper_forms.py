@@ -32,3 +32,10 @@ def test_word_lists_of_a_page_stay_in_step(spark):
     words = spark.createDataFrame(rows[::-1], "doc_id long, page int, word_no int, y0 double, x0 double, text string").repartition(5)
     (r,) = P.page_word_order(words).collect()
     assert (r.word_count, r.disorder_ratio) == (10, 1.0) and r.sample_words[:4] == ["w0", "w1", None, "w3"]
+
+
+def test_phrases_are_the_longest_at_their_place(spark):
+    plain = "(?i)(?:" + "|".join(re.escape(p) for p in sorted(V.MARKER_PHRASES, key=len, reverse=True)) + ")"
+    texts = [" ".join(p.upper() + " " + p[:-1] + p for p in V.MARKER_PHRASES), "Thus, synergy. SYNERGIZE synerg in this in the context", "hence"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(A.PHRASE_PATTERN), F.lit(0)).alias("p")).collect()
+    assert [r.p for r in got] == [re.findall(plain, t) for t in texts]
