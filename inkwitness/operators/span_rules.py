@@ -25,6 +25,9 @@ ZERO_WIDTH_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in V.ZERO_WIDTH) + "
 LOOKALIKE_CLASS = f"[{V.LOOKALIKES}]"
 _OTHER_SCRIPT = "[" + "".join(X._ranges(s) for s in V.SCRIPT_RANGES if s != "Latin") + "]"
 PROMPT_CLASSES = [f"(?i){p}" for p, _, _ in V.INJECTION_PATTERNS]
+# every match of a pattern holds one of its pieces; a look for them costs far less than the pattern
+PROMPT_PIECES = [("ignore",), ("disregard",), ("candidate",), ("candidate",), ("evaluator", "assistant", "model", "system"),
+                 ("manager", "recruiter", "hr"), ("candidate",), ("not",), ("system",), ("forget",)]
 
 
 
@@ -32,6 +35,11 @@ def _text() -> Column:
     return F.col("text")
 
 
+def _beyond_ascii() -> Column:
+    """Holds a character outside ASCII: cheap, and a condition for zero-width characters and other scripts."""
+    return F.octet_length(_text()) > F.length(_text())
+
+
 def _page() -> Column:
     return F.col("page")
 
@@ -105,7 +113,7 @@ def zero_width() -> Rule:
     evidence = evidence_map(
         occurrence_count=F.size(found), unique_codepoints=F.size(kinds), characters=F.to_json(F.transform(kinds, detail))
     )
-    return Rule(0, _text().rlike(ZERO_WIDTH_CLASS), signal(
+    return Rule(0, _beyond_ascii() & _text().rlike(ZERO_WIDTH_CLASS), signal(
         "zero_width_chars", F.lit("high"), _page(), F.lit("DEFINITIVE"), "high", description, X.snippet(_text()), evidence, _bbox(), _span_no()))
 
 
@@ -115,7 +123,7 @@ def homoglyph_word() -> Column:
         F.regexp_extract_all(_text(), F.lit(X.ANY_WORD), F.lit(0)),
         lambda w: (F.length(w) >= 2) & w.rlike(LOOKALIKE_CLASS) & (F.size(X.scripts_of(w)) >= 2),
     )
-    return F.when(_text().rlike(_OTHER_SCRIPT), F.get(mixed, F.lit(0)))
+    return F.when(_beyond_ascii() & _text().rlike(_OTHER_SCRIPT), F.get(mixed, F.lit(0)))
 
 
 def homoglyph() -> Rule:
@@ -196,7 +204,8 @@ def prompt_injection() -> list[Rule]:
         "prompt_injection", severity, _page(), F.when(severity == "high", "STRONG").otherwise("MODERATE"), "medium",
         describe("prompt_injection", page=_page(), reason=reason, matched=X.quoted(_matched())), X.snippet(_text()),
         evidence_map(matched_text=_matched(), pattern_reason=reason, full_span=X.snippet(_text(), 300)), _bbox(), _span_no())
-    return [Rule(PROMPT_BASE + i, _text().rlike(p), columns, F.regexp_extract(_text(), p, 0)) for i, p in enumerate(PROMPT_CLASSES)]
+    maybe = lambda i: reduce(or_, [F.contains(F.col("_low"), F.lit(piece)) for piece in PROMPT_PIECES[i]])
+    return [Rule(PROMPT_BASE + i, maybe(i) & _text().rlike(p), columns, F.regexp_extract(_text(), p, 0)) for i, p in enumerate(PROMPT_CLASSES)]
 
 
 def hits_of(spans: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -211,6 +220,8 @@ def hits_of(spans: DataFrame, rules: list[Rule]) -> DataFrame:
                            "near_white_threshold", "hidden_size_threshold") if c in spans.columns]
     if any(r.number == 1 for r in rules):
         spans = spans.withColumn("homoglyph_word", homoglyph_word())
+    if any(r.number >= PROMPT_BASE for r in rules):
+        spans = spans.withColumn("_low", F.lower(_text()))
     return spans.select(*columns, F.inline(F.array_compact(F.array(*tests))))
 
 

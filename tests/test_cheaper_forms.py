@@ -39,3 +39,35 @@ def test_phrases_are_the_longest_at_their_place(spark):
     texts = [" ".join(p.upper() + " " + p[:-1] + p for p in V.MARKER_PHRASES), "Thus, synergy. SYNERGIZE synerg in this in the context", "hence"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(A.PHRASE_PATTERN), F.lit(0)).alias("p")).collect()
     assert [r.p for r in got] == [re.findall(plain, t) for t in texts]
+
+
+def test_cheap_looks_rule_nothing_out():
+    """Every alternative of every pattern holds one of the pieces looked for; the classes have no ASCII character."""
+    def literals(parsed):
+        """Shortest matches of all alternatives."""
+        out = [""]
+        for kind, value in parsed:
+            name = str(kind)
+            if name == "LITERAL":
+                more = [chr(value)]
+            elif name == "IN":
+                more = [" "] if str(value[0][0]) == "CATEGORY" else [chr(value[0][1])]
+            elif name == "SUBPATTERN":
+                more = literals(value[3])
+            elif name == "BRANCH":
+                more = [x for branch in value[1] for x in literals(branch)]
+            elif name == "MAX_REPEAT":
+                more = literals(value[2]) if value[0] else [""]
+            else:
+                raise ValueError(name)
+            out = [a + b for a in out for b in more]
+        return out
+
+    assert len(SR.PROMPT_PIECES) == len(V.INJECTION_PATTERNS)
+    for (pattern, _, _), pieces in zip(V.INJECTION_PATTERNS, SR.PROMPT_PIECES):
+        shortest = literals(re._parser.parse(pattern))
+        assert all(re.fullmatch(pattern, x) for x in shortest) and all(any(p in x.lower() for p in pieces) for x in shortest)
+    ascii_text = "".join(map(chr, range(128)))
+    outside = {c: ord(c) for c in V.ZERO_WIDTH}
+    assert min(outside.values()) > 127 and not any(
+        a <= ord(c) <= b for c in ascii_text for s, ranges in V.SCRIPT_RANGES.items() if s != "Latin" for a, b in ranges)
