@@ -21,8 +21,18 @@ from inkwitness.operators.signals import describe, evidence_map, signal
 from inkwitness.functions.text import fill
 from inkwitness.schemas import SIGNAL_COLUMNS
 
-ZERO_WIDTH_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in V.ZERO_WIDTH) + "]"
-LOOKALIKE_CLASS = f"[{V.LOOKALIKES}]"
+
+
+def _class_of(chars) -> str:
+    """Character class of ``chars``, neighbours as one range, which is looked up faster."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in zip(starts, ends)) + "]"
+
+
+ZERO_WIDTH_CLASS = _class_of(V.ZERO_WIDTH)
+LOOKALIKE_CLASS = _class_of(V.LOOKALIKES)
 _OTHER_SCRIPT = "[" + "".join(X._ranges(s) for s in V.SCRIPT_RANGES if s != "Latin") + "]"
 PROMPT_CLASSES = [f"(?i){p}" for p, _, _ in V.INJECTION_PATTERNS]
 # every match of a pattern holds one of its pieces; a look for them costs far less than the pattern
@@ -196,6 +206,10 @@ def font_substitution() -> Rule:
         evidence_map(font_name=font, suspected_hidden_text=head), _bbox(), _span_no()))
 
 
+#: The same for a second piece, where the first is also common in plain text.
+SECOND_PIECES = {0: ("instruction",), 4: ("ai",), 5: ("you", "act", "pretend"), 7: ("this",), 8: (":",), 9: ("know", "learned", "told")}
+
+
 def prompt_injection() -> list[Rule]:
     """One test per pattern; severity and reason are looked up by the pattern's number."""
     entry = lambda i: F.get(F.array(*[F.lit(p[i]) for p in V.INJECTION_PATTERNS]), _rule() - PROMPT_BASE)
@@ -204,25 +218,28 @@ def prompt_injection() -> list[Rule]:
         "prompt_injection", severity, _page(), F.when(severity == "high", "STRONG").otherwise("MODERATE"), "medium",
         describe("prompt_injection", page=_page(), reason=reason, matched=X.quoted(_matched())), X.snippet(_text()),
         evidence_map(matched_text=_matched(), pattern_reason=reason, full_span=X.snippet(_text(), 300)), _bbox(), _span_no())
-    maybe = lambda i: reduce(or_, [F.contains(F.col("_low"), F.lit(piece)) for piece in PROMPT_PIECES[i]])
+    holds = lambda pieces: reduce(or_, [F.contains(F.col("_low"), F.lit(piece)) for piece in pieces])
+    maybe = lambda i: holds(PROMPT_PIECES[i]) & holds(SECOND_PIECES.get(i, ("",)))
     return [Rule(PROMPT_BASE + i, maybe(i) & _text().rlike(p), columns, F.regexp_extract(_text(), p, 0)) for i, p in enumerate(PROMPT_CLASSES)]
 
 
 def hits_of(spans: DataFrame, rules: list[Rule]) -> DataFrame:
     """Span rows, once per rule that hit them, with ``rule`` and ``matched``.
 
-    The array goes straight into the generator: as a column of its own it would be copied into a
-    filter below the generator and evaluated twice.
+    Each test is a column of its own, so that it is generated code of its own; inside the list of all
+    of them it would be interpreted. The outer form of the generator keeps a filter on the list, which
+    would evaluate all tests twice, from being put below it.
     """
-    tests = [F.when(r.test, F.struct(F.lit(r.number).alias("rule"),
-                                     (F.lit(None) if r.matched is None else r.matched).cast("string").alias("matched"))) for r in rules]
+    tests = [F.when(r.test, F.struct(F.lit(r.number).alias("rule"), (F.lit(None) if r.matched is None else r.matched).cast("string").alias("matched")))
+             .alias(f"_hit{r.number}") for r in rules]
     columns = [c for c in ("doc_id", "page", "span_no", "text", "bbox", "font_name", "font_size", "font_color",
                            "near_white_threshold", "hidden_size_threshold") if c in spans.columns]
     if any(r.number == 1 for r in rules):
         spans = spans.withColumn("homoglyph_word", homoglyph_word())
     if any(r.number >= PROMPT_BASE for r in rules):
         spans = spans.withColumn("_low", F.lower(_text()))
-    return spans.select(*columns, F.inline(F.array_compact(F.array(*tests))))
+    tested = spans.select(*columns, *tests)
+    return tested.select(*columns, F.inline_outer(F.array_compact(F.array(*(f"_hit{r.number}" for r in rules))))).filter(_rule().isNotNull())
 
 
 def as_signals(hits: DataFrame, rules: list[Rule]) -> DataFrame:
