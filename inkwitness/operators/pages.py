@@ -44,38 +44,74 @@ def _merge_counts(ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total
 
 
+#: Words of a page up to which every two of its words are compared at once.
+_SMALL_PAGE = 512
+
+
+def _small_counts(ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``_merge_counts`` of small pages: every two words are compared, for many pages at a time, distance by distance."""
+    total, starts = np.zeros(len(sizes), np.int64), np.cumsum(sizes) - sizes
+    by_size = np.argsort(sizes, kind="stable")
+    for some in np.array_split(by_size, len(sizes) // 512 + 1):
+        width = int(sizes[some].max(initial=0))
+        at = np.arange(width)[:, None]
+        inside = at < sizes[some]
+        # a word's rank on its page; what lies behind the last word is never out of order
+        grid = np.where(inside, ranks[np.minimum(starts[some] + at, len(ranks) - 1)] - starts[some], _SMALL_PAGE).astype(np.int16)
+        for apart in range(1, width):
+            total[some] += (grid[:-apart] > grid[apart:]).sum(axis=0)
+    return total
+
+
 @F.pandas_udf(T.LongType())
-def _inversions(numbers: pd.Series, bands: pd.Series, lefts: pd.Series) -> pd.Series:
-    """Pairs of words, stored in the order of their numbers, that reading order (band, then left edge) puts the other way round."""
-    sizes = bands.map(len).to_numpy()
+def _inversions(numbers: pd.Series, tops: pd.Series, lefts: pd.Series) -> pd.Series:
+    """Pairs of words, stored in the order of their numbers, that reading order (band, then left edge) puts the other way round.
+
+    A page whose words lie in the order of their numbers has an empty list of them."""
+    sizes = tops.map(len).to_numpy(dtype=np.int64)
     if not sizes.sum():
         return pd.Series(np.zeros(len(sizes), np.int64))
+    stored = lambda n, values: values if len(n) == 0 else values[np.argsort(n, kind="stable")]
+    band = np.rint(np.concatenate([stored(n, v) for n, v in zip(numbers, tops)]) / V.VISUAL_BAND_PT)
+    left = np.concatenate([stored(n, v) for n, v in zip(numbers, lefts)])
     page = np.repeat(np.arange(len(sizes)), sizes)
-    stored = np.lexsort((np.concatenate(numbers.to_list()), page))
     ranks = np.empty(len(page), np.int64)
-    ranks[np.lexsort((np.concatenate(lefts.to_list())[stored], np.concatenate(bands.to_list())[stored], page))] = np.arange(len(page))
-    return pd.Series(_merge_counts(ranks, sizes))
+    ranks[np.lexsort((left, band, page))] = np.arange(len(page))
+    total, small = np.zeros(len(sizes), np.int64), sizes <= _SMALL_PAGE
+    for which, count in ((small, _small_counts), (~small, _merge_counts)):
+        if which.any():
+            # ranks of a page are consecutive, so that those of the chosen pages close up
+            own = np.repeat(which, sizes)
+            gone = np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(sizes * which) - sizes * which), sizes)
+            total[which] = count(ranks[own] - gone[own], sizes[which])
+    return pd.Series(total)
 
 
-def page_word_order(words: DataFrame) -> DataFrame:
-    """How far the stored word order of a page is from its visual reading order.
+def words_by_page(words: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, no, y0, x0, text) of ``words(doc_id, page, word_no, x0, y0, text)``; the four lists are in step.
 
-    ``words(doc_id, page, word_no, x0, y0, text)``.  Pages of fewer than 8 words score 0.  One shuffle
-    gathers the words of each page, as plain lists that compress well; ranks and inversions are worked out for a batch of pages at once.
-    """
-    key = ["doc_id", "page"]
-    band = F.bround(F.col("y0") / V.VISUAL_BAND_PT, 0)
+    One shuffle gathers them, as plain lists that compress well."""
     # lists of one aggregate stay in step as long as no value is null
-    pages = words.groupBy(key).agg(
-        F.count("*").alias("word_count"), F.collect_list("word_no").alias("no"),
-        F.collect_list(F.coalesce(band, F.lit(float("nan")))).alias("band"), F.collect_list(F.coalesce("x0", F.lit(float("nan")))).alias("x0"),
+    edge = lambda c: F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))))
+    return words.groupBy("doc_id", "page").agg(
+        F.collect_list("word_no").alias("no"), edge("y0").alias("y0"), edge("x0").alias("x0"),
         F.collect_list(F.coalesce("text", F.lit(_NO_TEXT))).alias("text"))
-    n = F.col("word_count")
-    judged = n >= V.MIN_WORDS_FOR_ORDER
-    kept = lambda c, kind: F.when(judged, F.col(c)).otherwise(F.array().cast(f"array<{kind}>"))
-    first = F.slice(F.array_sort(F.arrays_zip("no", "text")), 1, V.ORDER_SAMPLE_WORDS)
-    counted = pages.select(*key, "word_count", _inversions(kept("no", "long"), kept("band", "double"), kept("x0", "double")).alias("inversions"),
-                           F.when(judged, F.transform(first, lambda w: F.nullif(w["text"], F.lit(_NO_TEXT)))).alias("sample"))
+
+
+def order_of_pages(pages: DataFrame) -> DataFrame:
+    """How far the stored word order of a page is from its visual reading order.
+
+    ``pages`` as ``words_by_page`` gives them.  Pages of fewer than 8 words score 0.  Nothing is shuffled; ranks and
+    inversions are worked out for a batch of pages at once.
+    """
+    n, key = F.col("word_count"), ["doc_id", "page"]
+    judged, sorted_ = n >= V.MIN_WORDS_FOR_ORDER, F.sort_array("no") == F.col("no")
+    kept = lambda c, test, kind: F.when(test, F.col(c)).otherwise(F.array().cast(f"array<{kind}>"))
+    first = F.when(F.col("in_order"), F.slice("text", 1, V.ORDER_SAMPLE_WORDS)).otherwise(
+        F.slice(F.sort_array(F.arrays_zip("no", "text")), 1, V.ORDER_SAMPLE_WORDS)["text"])
+    counted = pages.withColumn("word_count", F.size("no").cast("long")).withColumn("in_order", sorted_).select(
+        *key, "word_count", _inversions(kept("no", judged & ~F.col("in_order"), "long"), kept("y0", judged, "double"), kept("x0", judged, "double")).alias("inversions"),
+        F.when(judged, F.transform(first, lambda w: F.nullif(w, F.lit(_NO_TEXT)))).alias("sample"))
     pairs = F.greatest(n * (n - 1) / 2, F.lit(1.0))
     return counted.select(
         *key, "word_count",
@@ -84,6 +120,11 @@ def page_word_order(words: DataFrame) -> DataFrame:
     )
 
 
+def page_word_order(words: DataFrame) -> DataFrame:
+    """``order_of_pages`` of ``words(doc_id, page, word_no, x0, y0, text)``, a word in a row."""
+    return order_of_pages(words_by_page(words))
+
+
 def detect_layer_order(word_order: DataFrame) -> DataFrame:
     ratio = F.col("disorder_ratio")
     severity = F.when(ratio > V.ORDER_HIGH_RATIO, "high").otherwise("medium")

@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 
 from inkwitness.operators import metadata, pages, span_rules, timeline
 from inkwitness.operators.signals import order_signals
+from inkwitness.schemas import SIGNAL_COLUMNS
+from inkwitness.session import materialise
 
 
 @dataclass
 class Evidence:
-    """What the rules read.  Anything but spans and page sizes may be absent."""
+    """What the rules read.  Anything but spans and page sizes may be absent.
+
+    ``words`` has a page in a row (``pages.words_by_page``)."""
 
     spans: DataFrame
     page_dims: DataFrame
@@ -25,11 +29,12 @@ class Evidence:
 
 
 def _timeline(e: Evidence) -> DataFrame:
-    return timeline.detect_timeline(timeline.extract_date_ranges(e.spans, e.ref_date), e.ref_date)
+    # four branches read the ranges, which are few, while the texts they come from are not
+    return timeline.detect_timeline(materialise(timeline.extract_date_ranges(e.spans, e.ref_date), "date-ranges"), e.ref_date)
 
 
 def _layer_order(e: Evidence) -> DataFrame | None:
-    return None if e.words is None else pages.detect_layer_order(pages.page_word_order(e.words))
+    return None if e.words is None else pages.detect_layer_order(pages.order_of_pages(e.words))
 
 
 def _metadata(e: Evidence) -> DataFrame | None:
@@ -58,6 +63,10 @@ def run_all_detectors(evidence: Evidence) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [f for f in found if f is not None])
 
 
-def ordered_signals(evidence: Evidence) -> DataFrame:
-    """All signals in one total order: document, page, severity, type, box, description; sorted over ranges of documents."""
-    return order_signals(run_all_detectors(evidence))
+def ordered_signals(evidence: Evidence, columns: list[str] = SIGNAL_COLUMNS) -> DataFrame:
+    """``columns`` of all signals in one total order: document, page, severity, type, box, description; sorted over ranges of documents.
+
+    The signals are written once: ranges are drawn from a sample of them, so that a sort reads its input twice."""
+    keys = ["doc_id", "page", "severity", "signal_type", "bbox", "description"]
+    found = run_all_detectors(evidence).select(*columns, *(k for k in keys if k not in columns))
+    return order_signals(materialise(found, "signals")).select(columns)

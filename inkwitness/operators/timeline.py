@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkwitness import fixed_values as V
 from inkwitness.functions import text as X
 from inkwitness.functions.dates import DATE_RANGE, months_between_floor, parse_resume_date
 from inkwitness.operators.signals import describe, evidence_map, in_layout, signal
@@ -18,8 +19,8 @@ def page_texts(spans: DataFrame) -> DataFrame:
 
 def extract_date_ranges(spans: DataFrame, ref_date: Column) -> DataFrame:
     """``date_ranges(doc_id, page, pos, start_d, end_d, raw)``; both ends must be real dates."""
-    # every range names a year, so pages without four digits in a row are never gathered
-    dated = spans.filter(F.col("text").rlike(r"\d{4}")).select("doc_id", "page").distinct()
+    # a range starts with a year, and its separator follows in the same span or the span ends; other pages are never gathered
+    dated = spans.filter(F.col("text").rlike(rf"(?i)\d{{4}}\s*(?:{V.RANGE_SEPARATOR}|\z)")).select("doc_id", "page").distinct()
     spans = spans.join(dated, ["doc_id", "page"], "left_semi")
     hits = lambda group: F.regexp_extract_all(F.col("text"), F.lit(DATE_RANGE), F.lit(group))
     found = page_texts(spans).filter(F.col("text").rlike(DATE_RANGE)).select(

@@ -16,6 +16,36 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pages_of_a_file_are_judged_without_a_shuffle(spark):
+    by_page = P.order_of_pages(W.word_pages(spark, SF))
+    row = lambda r: (r.doc_id, r.page, r.word_count, r.disorder_ratio, tuple(r.sample_words))
+    assert sorted(map(row, by_page.collect())) == sorted(map(row, P.page_word_order(W.words(spark, SF)).collect()))
+    assert "Exchange" not in by_page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_every_size(spark):
+    """Small pages are compared whole, large ones by merging; stored numbers may be out of order, edges may lack."""
+    draw, rows, want = np.random.default_rng(4), [], {}
+    for page, n in enumerate((8, 9, 200, 511, 512, 513, 1300), 1):
+        x0, y0 = draw.integers(0, 9, n).astype(float), draw.integers(0, 40, n).astype(float)
+        order = [(float(np.rint(y / 3)), x) for x, y in zip(x0, y0)]
+        want[page] = round(sum(order[i] > order[j] for i in range(n) for j in range(i + 1, n)) / (n * (n - 1) / 2), 4)
+        rows += [(1, page, i, float(x0[i]), float(y0[i]), f"w{i}") for i in draw.permutation(n).tolist()]
+    words = spark.createDataFrame(rows, "doc_id long, page int, word_no int, x0 double, y0 double, text string")
+    got = {r.page: r for r in P.page_word_order(words).collect()}
+    assert {p: r.disorder_ratio for p, r in got.items()} == want
+    assert all(r.sample_words == [f"w{i}" for i in range(min(r.word_count, 40))] for r in got.values())
+
+
+def test_dates_are_read_from_the_texts_once(spark):
+    spans = spark.createDataFrame([(1, 1, 0, "from Mar 2019"), (1, 1, 1, " "), (1, 1, 2, "TO May 2021"), (2, 1, 0, "call 5550 123, in 2019 and 2021"), (3, 1, 0, "2001"),
+                                   (3, 1, 1, None), (3, 1, 2, "through 2004; Jan 2003--now")], "doc_id long, page int, span_no int, text string")
+    ref = W.ref_date()
+    assert sorted((r.doc_id, r.raw) for r in T.extract_date_ranges(spans, ref).collect()) == [(1, "Mar 2019   TO May 2021"), (3, "2001 through 2004"), (3, "Jan 2003--now")]
+    found = registry._timeline(registry.Evidence(spans, None, ref))
+    assert "RLIKE" not in plan(found) and [(r.doc_id, r.signal_type) for r in found.collect()] == [(3, "timeline_overlap")]
+
+
 def test_each_rule_is_tested_once_and_by_itself(spark):
     spans = W.spans(spark, SF)
     rules = SR.row_local_rules(spans) + SR.prompt_injection()
@@ -34,3 +64,8 @@ def test_character_classes_hold_their_characters_and_no_others(spark):
     rows = spark.createDataFrame([(c,) for c in around], "c string").select(
         "c", F.col("c").rlike(SR.ZERO_WIDTH_CLASS).alias("z"), F.col("c").rlike(SR.LOOKALIKE_CLASS).alias("l")).collect()
     assert all(r.z == (r.c in V.ZERO_WIDTH) and r.l == (r.c in V.LOOKALIKES) for r in rows)
+
+
+def test_signals_are_written_once_before_they_are_sorted(spark):
+    found = registry.ordered_signals(registry.Evidence(W.spans(spark, SF), W.document_pages(spark, SF), W.ref_date()), ["doc_id", "severity"])
+    assert found.columns == ["doc_id", "severity"] and "RLIKE" not in plan(found) and "Generate" not in plan(found)
