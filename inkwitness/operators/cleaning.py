@@ -97,18 +97,20 @@ def word_counts(spans: DataFrame, clean_texts: DataFrame) -> DataFrame:
 
 def resume_likelihood(texts: DataFrame, text: str = "full_text") -> DataFrame:
     """Section words, e-mail and phone found in a text, and whether it is admitted."""
-    body, low = F.col(text), F.lower(F.col(text))
+    body, low = F.col(text), F.col("_low")
     keywords = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in V.SECTION_KEYWORDS]))
     short = F.col("word_count") < V.ADMISSION_MIN_WORDS
     passed = F.col("score") >= V.ADMISSION_MIN_SCORE
     return (
-        texts.withColumn("matched_keywords", keywords)
-        .withColumn("has_email", body.rlike(V.EMAIL_PATTERN))
+        # a column of its own, as the list is not generated code and would make it anew for each word
+        texts.withColumn("_low", F.lower(body))
+        .withColumn("matched_keywords", keywords).drop("_low")
+        .withColumn("has_email", F.contains(body, F.lit("@")) & body.rlike(V.EMAIL_PATTERN))
         .withColumn("has_phone", body.rlike(V.PHONE_PATTERN))
         .withColumn("word_count", X.letter_word_count(body))
         .withColumn("score", F.least(F.size("matched_keywords"), F.lit(V.ADMISSION_KEYWORD_CAP))
                     + F.col("has_email").cast("int") + F.col("has_phone").cast("int"))
-        .withColumn("admitted", short | passed)
+        .withColumn("admitted", passed | short)
         .withColumn("reason", F.when(short, "insufficient_text_defer_to_ocr")
                     .when(passed, "heuristic_score_pass").otherwise("heuristic_score_fail"))
     )

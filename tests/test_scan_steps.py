@@ -66,6 +66,13 @@ def test_character_classes_hold_their_characters_and_no_others(spark):
     assert all(r.z == (r.c in V.ZERO_WIDTH) and r.l == (r.c in V.LOOKALIKES) for r in rows)
 
 
+def test_a_text_is_lowered_once_for_all_section_words(spark):
+    texts = spark.createDataFrame([(1, "EXPERIENCE and Work Experience, me@x.org"), (2, None)], "doc_id long, full_text string")
+    judged = C.resume_likelihood(texts)
+    assert plan(judged).count("lower(") == 1
+    assert [(r.matched_keywords, r.has_email) for r in judged.orderBy("doc_id").collect()] == [(["experience", "work experience"], True), ([], None)]
+
+
 def test_signals_are_written_once_before_they_are_sorted(spark):
     found = registry.ordered_signals(registry.Evidence(W.spans(spark, SF), W.document_pages(spark, SF), W.ref_date()), ["doc_id", "severity"])
     assert found.columns == ["doc_id", "severity"] and "RLIKE" not in plan(found) and "Generate" not in plan(found)
