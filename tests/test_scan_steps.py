@@ -76,3 +76,11 @@ def test_a_text_is_lowered_once_for_all_section_words(spark):
 def test_signals_are_written_once_before_they_are_sorted(spark):
     found = registry.ordered_signals(registry.Evidence(W.spans(spark, SF), W.document_pages(spark, SF), W.ref_date()), ["doc_id", "severity"])
     assert found.columns == ["doc_id", "severity"] and "RLIKE" not in plan(found) and "Generate" not in plan(found)
+
+
+def test_skills_are_found_after_a_look_at_their_first_letter(spark):
+    rows = [("Node.jsx node.js REST api, xReact React.js reactJS Apache kafka C++ c# Go lang R",), ("xReact xrest İnode noder spring1 scikit",)]
+    got = spark.createDataFrame(rows, "t string").select(M.extract_skills(F.col("t")).alias("s"), F.col("t")).collect()
+    assert got[0].s == ["Go", "JavaScript", "Kafka", "Node.js", "R", "REST API", "React"] and got[1].s == []
+    tests = plan(spark.createDataFrame(rows, "t string").select(M.extract_skills(F.col("t")))).split("RLIKE(")[1:]
+    assert tests and all("(?id)(?=" in t for t in tests)
